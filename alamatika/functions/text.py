@@ -136,10 +136,13 @@ def format_location(
     return F.concat(F.concat_ws(", ", *parts), F.coalesce(tail, F.lit("")))
 
 
-def same_text(a: Column, b: Column) -> Column:
-    """Equal but for case and outer white space; null counts as ''."""
+def trimmed(c: Column) -> Column:
+    """Text without outer Unicode white space; null becomes ''."""
+    return F.regexp_replace(
+        F.coalesce(c, F.lit("")), r"^[\s\x0B\p{Z}\x{FEFF}]+|[\s\x0B\p{Z}\x{FEFF}]+$", ""
+    )
 
-    def folded(c: Column) -> Column:
-        return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
-    return folded(a) == folded(b)
+def same_text(a: Column, b: Column) -> Column:
+    """Equal but for case and outer white space; null counts as ''."""
+    return F.lower(trimmed(a)) == F.lower(trimmed(b))

@@ -142,16 +142,16 @@ def has_exact() -> Column:
 
 def matched_levels() -> dict[str, Column]:
     """Levels whose entity is confirmed by evidence."""
-    return {
-        level: F.col(slot).isNotNull()
-        & F.exists(
+
+    def confirmed(level: str, slot: str) -> Column:
+        return F.col(slot).isNotNull() & F.exists(
             _EV,
-            lambda e, level=level, slot=slot: F.coalesce(
+            lambda e: F.coalesce(
                 (e["level"] == level) & (e["entity_id"] == F.col(slot)), F.lit(False)
             ),
         )
-        for level, slot in SLOT_OF.items()
-    }
+
+    return {level: confirmed(level, slot) for level, slot in SLOT_OF.items()}
 
 
 def postal_prefix() -> Column:

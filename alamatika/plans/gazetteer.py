@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from alamatika.operators import gazetteer as G
 from alamatika.operators.bounded import MAX_BROADCAST_BYTES, measured_bytes
 from alamatika.sources import dumps
+from alamatika.sources.requests import registry_of
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,15 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Gazetteer:
-    """Sources and regions with the lookup tables a validation job joins.
+    """Regions with the lookup tables a validation job joins.
 
-    ``phrases``: distinct (source_id, phrase). ``lexicon``: one row per entity with its
+    ``registry``: the newest version of each source code. ``phrases``: distinct (source_id, phrase). ``lexicon``: one row per entity with its
     chain. ``guesses``: inferred location per (source_id, postal_code). ``max_words``
     bounds the spans looked up; ``small`` says whether the tables were measured within
     the broadcast bound.
     """
 
-    sources: DataFrame
+    registry: DataFrame
     regions: DataFrame
     hierarchy: DataFrame
     phrases: DataFrame
@@ -67,10 +68,9 @@ class Gazetteer:
         lexicon = write(G.lexicon(regions, hierarchy), "lexicon")
         guesses = write(G.postal_guesses(G.reverse_postal(regions)), "guesses")
         phrases = lexicon.select("source_id", "phrase").distinct()
-        size = measured_bytes(lexicon)
-        small = size <= max_broadcast_bytes and measured_bytes(guesses) <= max_broadcast_bytes
+        small = max(measured_bytes(lexicon), measured_bytes(guesses)) <= max_broadcast_bytes
         return Gazetteer(
-            sources=sources,
+            registry=registry_of(sources),
             regions=regions,
             hierarchy=hierarchy,
             phrases=phrases,

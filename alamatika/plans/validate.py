@@ -34,13 +34,13 @@ LEVEL_NAMES = dict(
 
 def prepare(
     requests: DataFrame,
-    sources: DataFrame,
+    registry: DataFrame,
     default_source: str = K.DEFAULT_SOURCE,
     max_bytes: int = K.MAX_ADDRESS_BYTES,
 ) -> DataFrame:
     """Accepted requests with clean text: T1, R11, T2, T9."""
     requests = requests.select("address_id", "address", "source_code")
-    routed = Q.accepted(Q.route(requests, sources, default_source, max_bytes))
+    routed = Q.accepted(Q.route(requests, registry, default_source, max_bytes))
     return routed.select(
         "address_id",
         F.col("address").alias("raw_input"),
@@ -322,6 +322,6 @@ def validate(
         requests = requests.select("address_id", "address", "source_code").repartition(
             n, "address_id"
         )
-    texts = prepare(requests, gazetteer.sources, default_source, max_bytes)
+    texts = prepare(requests, gazetteer.registry, default_source, max_bytes)
     scored = score_candidates(expand_candidates(choose_phrases(texts, gazetteer), gazetteer))
     return respond(gather(scored), gazetteer)

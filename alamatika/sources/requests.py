@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions import text as T
+from alamatika.operators.bounded import broadcast_if_small
 from alamatika.operators.gazetteer import latest_sources
 
 REQUEST_SCHEMA = "address_id string, address string, source_code string, _corrupt_record string"
@@ -59,25 +60,33 @@ def with_address_ids(requests: DataFrame) -> DataFrame:
     )
 
 
+def registry_of(sources: DataFrame) -> DataFrame:
+    """G11 as a join side: the newest version of each code, broadcast if measured small.
+
+    Requests share few sources, so joining them by shuffle would pile them up.
+    """
+    return broadcast_if_small(
+        latest_sources(sources).select(
+            F.col("code").alias("source_code"),
+            F.col("id").alias("source_id"),
+            F.col("version").alias("source_version"),
+        )
+    )
+
+
 def route(
     requests: DataFrame,
-    sources: DataFrame,
+    registry: DataFrame,
     default_source: str = K.DEFAULT_SOURCE,
     max_bytes: int = K.MAX_ADDRESS_BYTES,
 ) -> DataFrame:
     """Adds source_id, source_version, http_status and reject_reason (null = accepted).
 
     Bad bodies and addresses are 400, an unknown source is 500; an empty source code
-    means the default source, the newest version of a code is used.
+    means the default source. ``registry`` comes from ``registry_of``.
     """
     code = F.coalesce(F.nullif("source_code", F.lit("")), F.lit(default_source))
-    # No hint: Spark broadcasts the registry while its known size is under its threshold.
-    latest = latest_sources(sources).select(
-        F.col("code").alias("source_code"),
-        F.col("id").alias("source_id"),
-        F.col("version").alias("source_version"),
-    )
-    rows = requests.withColumn("source_code", code).join(latest, "source_code", "left")
+    rows = requests.withColumn("source_code", code).join(registry, "source_code", "left")
     bad = T.request_error(F.col("address"), max_bytes)
     if "_corrupt_record" in requests.columns:
         bad = F.when(F.col("_corrupt_record").isNotNull(), F.lit(MALFORMED)).otherwise(bad)
