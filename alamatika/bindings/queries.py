@@ -23,6 +23,7 @@ from alamatika.operators import matching as M
 from alamatika.operators import resolution as R
 from alamatika.plans import accuracy as PA
 from alamatika.plans import validate as V
+from alamatika.plans.gazetteer import written
 from alamatika.sources import dumps, labelled, regions as S
 from alamatika.sources import requests as Q
 from alamatika.sources.request_log import log_rows
@@ -358,16 +359,20 @@ def lexicon(spark, d):
 # --- matching ------------------------------------------------------------------------
 
 def _addresses(spark, d, modulus: int = 3000) -> DataFrame:
-    return V.prepare(B.requests(spark, d, modulus), Q.registry_of(B.sources(spark)))
+    return V.prepare(B.requests(spark, d, modulus), B.gazetteer(spark, d).registry)
 
 
 def _phrases(spark, d) -> DataFrame:
-    return G.phrase_dict(B.regions(spark, d))
+    return G.phrase_dict(B.gazetteer(spark, d).regions)
+
+
+def _maps(spark, d) -> dict[str, DataFrame]:
+    return S.parent_maps(B.gazetteer(spark, d).hierarchy)
 
 
 def _hits(spark, d) -> DataFrame:
-    phrases = _phrases(spark, d)
-    return M.phrase_hits(M.ngrams(_addresses(spark, d), G.longest_phrase(phrases)), phrases)
+    grams = M.ngrams(_addresses(spark, d), B.gazetteer(spark, d).max_words)
+    return M.phrase_hits(grams, _phrases(spark, d))
 
 
 def _words(spark, d) -> DataFrame:
@@ -436,17 +441,15 @@ def resolve_evidence(spark, d):
 
 # --- candidates ----------------------------------------------------------------------
 
-def _flat(spark, d) -> DataFrame:
-    return C.discover(C.roots(_resolved(spark, d)))
-
-
-def _enriched(spark, d) -> DataFrame:
-    r = B.regions(spark, d)
-    return C.enrich(_flat(spark, d), S.parent_maps(G.flatten_hierarchy(r)), r)
+def _enriched(spark, d, resolved: DataFrame | None = None) -> DataFrame:
+    found = _resolved(spark, d) if resolved is None else resolved
+    return C.enrich(
+        C.discover(C.roots(found)), _maps(spark, d), B.gazetteer(spark, d).regions)
 
 
 def _concluded(spark, d) -> DataFrame:
-    return C.conclude(_enriched(spark, d), _resolved(spark, d))
+    resolved = written(_resolved(spark, d), "resolved")  # read twice below
+    return C.conclude(_enriched(spark, d, resolved), resolved)
 
 
 def _ids(*names: str) -> list[Column]:
@@ -466,7 +469,7 @@ def roots(spark, d):
     "CASE WHEN level = 'SUBDISTRICT' THEN entity_id ELSE 0 END AS subdistrict_id, "
     "'top_down,any_level' AS strategies FROM roots"))
 def candidates_flat(spark, d):
-    return _flat(spark, d).select(
+    return C.discover(C.roots(_resolved(spark, d))).select(
         "address_id", "cand_id", "origin_level", *_ids(*C.SLOTS), csv("strategies").alias("strategies"))
 
 
@@ -508,7 +511,8 @@ def enrich(spark, d):
     "SELECT address_id, cand_id, string_agg(type || ':' || value || ':' || level || ':' || entity_id, ',' "
     "ORDER BY ev_pos, entity_id) AS evidence FROM matched GROUP BY ALL"))
 def match_evidence(spark, d):
-    rows = C.match_evidence(_enriched(spark, d), _resolved(spark, d))
+    resolved = written(_resolved(spark, d), "resolved")  # read twice below
+    rows = C.match_evidence(_enriched(spark, d, resolved), resolved)
     return rows.select("address_id", "cand_id", csv(F.transform(
         "evidence", lambda e: F.concat_ws(":", e["type"], e["value"], e["level"], e["entity_id"].cast("string"))
     )).alias("evidence"))
@@ -615,8 +619,7 @@ def _structured(spark, d) -> DataFrame:
 
 
 def _evaluated(spark, d) -> DataFrame:
-    maps = S.parent_maps(G.flatten_hierarchy(B.regions(spark, d)))
-    return E.evaluate(_structured(spark, d), maps)
+    return E.evaluate(_structured(spark, d), _maps(spark, d))
 
 
 def _st_sql(columns: str, cte: str = "sc") -> str:
@@ -628,8 +631,7 @@ _KEY = ("address_id", "cand_id")
 
 @query("hierarchy_conflicts", _st_sql("coalesce(hc, '') AS hierarchy_conflict", "links_ok"))
 def hierarchy_conflicts(spark, d):
-    maps = S.parent_maps(G.flatten_hierarchy(B.regions(spark, d)))
-    return E.hierarchy_conflict(_structured(spark, d), maps).select(
+    return E.hierarchy_conflict(_structured(spark, d), _maps(spark, d)).select(
         *_KEY, F.coalesce("hierarchy_conflict", F.lit("")).alias("hierarchy_conflict"))
 
 
@@ -694,14 +696,13 @@ def reasons(spark, d):
 # --- ranking and resolution ------------------------------------------------------------
 
 def _ranked(spark, d) -> DataFrame:
-    return R.rank(E.evaluate(_concluded(spark, d), S.parent_maps(G.flatten_hierarchy(B.regions(spark, d)))))
+    return R.rank(E.evaluate(_concluded(spark, d), _maps(spark, d)))
 
 
 @query("evaluate_candidates", O.sql(
     "SELECT address_id, cand_id, confidence, status, conflicts, matched, missing, reasons FROM judged"))
 def evaluate_candidates(spark, d):
-    maps = S.parent_maps(G.flatten_hierarchy(B.regions(spark, d)))
-    return E.evaluate(_concluded(spark, d), maps).select(
+    return E.evaluate(_concluded(spark, d), _maps(spark, d)).select(
         *_KEY, "confidence", "status", conflict_text(F.col("conflicts")).alias("conflicts"),
         *[csv(c).alias(c) for c in ("matched", "missing", "reasons")])
 

@@ -139,8 +139,15 @@ def sources(spark: SparkSession) -> DataFrame:
     )
 
 
-def gazetteer(spark: SparkSession, sf_dir: str, postal_modulus: int = 3000, save: bool = True):
-    return Gazetteer.build(sources(spark), regions(spark, sf_dir, postal_modulus), save=save)
+_BUILT: dict[tuple, Gazetteer] = {}
+
+
+def gazetteer(spark: SparkSession, sf_dir: str, postal_modulus: int = 3000) -> Gazetteer:
+    """The derived gazetteer, seeded once per application like any gazetteer."""
+    key = (spark.sparkContext.applicationId, sf_dir, postal_modulus)
+    if key not in _BUILT:
+        _BUILT[key] = Gazetteer.build(sources(spark), regions(spark, sf_dir, postal_modulus))
+    return _BUILT[key]
 
 
 def orders_with_places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,45 +141,39 @@ def match_evidence(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
 
     Each candidate is one row per filled slot for the join, never per evidence pair.
     """
-    chain = candidates.select(
-        "address_id",
-        "cand_id",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(slot).isNotNull(),
-                            F.struct(F.lit(level).alias("level"), F.col(slot).alias("entity_id")),
-                        )
-                        for level, slot in SLOT_OF.items()
-                    ]
+    rest = [c for c in candidates.columns if c not in ("address_id", "cand_id")]
+    filled = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(slot).isNotNull(),
+                    F.struct(F.lit(level).alias("level"), F.col(slot).alias("entity_id")),
                 )
-            )
-        ).alias("s"),
-    ).select("address_id", "cand_id", "s.level", "s.entity_id")
+                for level, slot in SLOT_OF.items()
+            ]
+        )
+    )
+    chain = candidates.select(
+        "address_id", "cand_id", F.struct(*rest).alias("_c"), F.explode_outer(filled).alias("s")
+    ).select("address_id", "cand_id", "_c", "s.level", "s.entity_id")
     hits = resolved.where(F.col("entity_id").isNotNull()).select(
-        "address_id", "ev_pos", "type", "value", "entity_id", "level", "name"
+        "address_id", "entity_id", "level", "ev_pos", "type", "value", "name"
     )
     item = F.struct("ev_pos", "entity_id", "type", "value", "level", "name")
-    matched = (
-        chain.join(hits, ["address_id", "entity_id", "level"])
-        .groupBy("address_id", "cand_id")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    )
     evidence = F.transform(
-        F.coalesce("_items", F.array()),
+        "_items",
         lambda x: F.struct(x["type"], x["value"], x["entity_id"], x["level"], x["name"]),
     )
     return (
-        candidates.join(matched, ["address_id", "cand_id"], "left")
-        .withColumn(
-            "evidence",
-            F.when(F.col("_items").isNull(), F.array().cast(EVIDENCE_STRUCT)).otherwise(
-                evidence.cast(EVIDENCE_STRUCT)
-            ),
+        chain.join(hits, ["address_id", "entity_id", "level"], "left")
+        .groupBy("address_id", "cand_id")
+        .agg(
+            F.first("_c").alias("_c"),
+            F.sort_array(
+                F.collect_list(F.when(F.col("ev_pos").isNotNull(), item))
+            ).alias("_items"),
         )
-        .drop("_items")
+        .select("address_id", "cand_id", "_c.*", evidence.cast(EVIDENCE_STRUCT).alias("evidence"))
     )
 
 

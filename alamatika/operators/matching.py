@@ -129,30 +129,36 @@ def evidence(addresses: DataFrame) -> DataFrame:
 _ENTITY = ("entity_id", "level", "kode", "name", "postal_code")
 
 
-def resolve_postal(evidence_: DataFrame, phrases: DataFrame) -> DataFrame:
-    """M6: postal evidence with the subdistricts of the source that have the code."""
+def _postal_lookup(evidence_: DataFrame, phrases: DataFrame, how: str) -> DataFrame:
     codes = phrases.where(
         (F.col("level") == K.SUBDISTRICT) & (F.col("postal_code") != "")
     ).select("source_id", F.col("postal_code").alias("value"), *_ENTITY)
     return evidence_.where(F.col("type") == K.POSTAL_CODE).join(
-        broadcast_if_small(codes), ["source_id", "value"]
+        broadcast_if_small(codes), ["source_id", "value"], how
     ).select(*evidence_.columns, *_ENTITY)
 
 
-def resolve_place(evidence_: DataFrame, words: DataFrame) -> DataFrame:
-    """M7: place evidence with the entities of its word, once per entity."""
+def _place_lookup(evidence_: DataFrame, words: DataFrame, how: str) -> DataFrame:
     found = words.select(
         "address_id", F.col("word").alias("value"), *_ENTITY
     ).dropDuplicates(["address_id", "value", "entity_id"])
     return evidence_.where(F.col("type") == K.PLACE_NAME).join(
-        found, ["address_id", "value"]
+        found, ["address_id", "value"], how
     ).select(*evidence_.columns, *_ENTITY)
 
 
+def resolve_postal(evidence_: DataFrame, phrases: DataFrame) -> DataFrame:
+    """M6: postal evidence with the subdistricts of the source that have the code."""
+    return _postal_lookup(evidence_, phrases, "inner")
+
+
+def resolve_place(evidence_: DataFrame, words: DataFrame) -> DataFrame:
+    """M7: place evidence with the entities of its word, once per entity."""
+    return _place_lookup(evidence_, words, "inner")
+
+
 def resolve_evidence(evidence_: DataFrame, words: DataFrame, phrases: DataFrame) -> DataFrame:
     """M9: M6 and M7 together; evidence that resolves to nothing stays with nulls."""
-    found = resolve_postal(evidence_, phrases).unionByName(resolve_place(evidence_, words))
-    keys = ["address_id", "ev_pos"]
-    return evidence_.join(found.select(*keys, *_ENTITY), keys, "left").select(
-        *evidence_.columns, *_ENTITY
+    return _postal_lookup(evidence_, phrases, "left").unionByName(
+        _place_lookup(evidence_, words, "left")
     )

@@ -15,6 +15,9 @@ from alamatika.sources import dumps
 from alamatika.sources.requests import registry_of
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -25,9 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="alamatika-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="alamatika-")
+    return _LOCAL_FOLDERS[app]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back: cuts the lineage of a
+    result that is used more than once.
+    """
+    return _Writer(df.sparkSession)(df, name)
 
 
 @dataclass(frozen=True)
@@ -90,7 +101,7 @@ class _Writer:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/gazetteer-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/alamatika-{uuid.uuid4().hex}"
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
