@@ -91,7 +91,7 @@ def regions(spark: SparkSession, sf_dir: str, postal_modulus: int = 3000) -> Dat
     customers = (
         table(spark, sf_dir, "customer")
         .select("c_custkey", "c_nationkey", "c_mktsegment")
-        .join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     districts = (
         customers.select("c_nationkey", "city_kode", "c_mktsegment")
@@ -160,7 +160,7 @@ def orders_with_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = (
         table(spark, sf_dir, "customer")
         .select("c_custkey", "c_nationkey", "c_mktsegment")
-        .join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     return (
         table(spark, sf_dir, "orders")

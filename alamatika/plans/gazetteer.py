@@ -47,8 +47,8 @@ class Gazetteer:
 
     ``registry``: the newest version of each source code. ``phrases``: distinct (source_id, phrase). ``lexicon``: one row per entity with its
     chain. ``guesses``: inferred location per (source_id, postal_code). ``max_words``
-    bounds the spans looked up; ``small`` says whether the tables were measured within
-    the broadcast bound.
+    bounds the spans looked up; ``small`` names the tables that were measured within the
+    broadcast bound.
     """
 
     registry: DataFrame
@@ -58,7 +58,7 @@ class Gazetteer:
     lexicon: DataFrame
     guesses: DataFrame
     max_words: int
-    small: bool
+    small: frozenset[str]
 
     @staticmethod
     def build(
@@ -78,8 +78,11 @@ class Gazetteer:
         )
         lexicon = write(G.lexicon(regions, hierarchy), "lexicon")
         guesses = write(G.postal_guesses(G.reverse_postal(regions)), "guesses")
-        phrases = lexicon.select("source_id", "phrase").distinct()
-        small = max(measured_bytes(lexicon), measured_bytes(guesses)) <= max_broadcast_bytes
+        phrases = write(lexicon.select("source_id", "phrase").distinct(), "phrases")
+        tables = {"phrases": phrases, "lexicon": lexicon, "guesses": guesses}
+        small = frozenset(
+            name for name, df in tables.items() if measured_bytes(df) <= max_broadcast_bytes
+        )
         return Gazetteer(
             registry=registry_of(sources),
             regions=regions,
@@ -91,9 +94,9 @@ class Gazetteer:
             small=small,
         )
 
-    def lookup(self, df: DataFrame) -> DataFrame:
-        """A lookup side of a join: broadcast only when measured small."""
-        return F.broadcast(df) if self.small else df
+    def lookup(self, name: str, df: DataFrame) -> DataFrame:
+        """A view of a lookup table as join side: broadcast only when measured small."""
+        return F.broadcast(df) if name in self.small else df
 
 
 class _Writer:

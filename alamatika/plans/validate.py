@@ -8,9 +8,10 @@ the rows are grouped by address once more. Neither grouping needs another exchan
 request, so copies of one text, popular names and popular sources never meet in one task;
 what one group holds is the candidate list of one address, which is its result.
 
-A gazetteer above the broadcast bound is joined by shuffle instead. The carrier's join key
-is then its own address id, so carriers spread evenly, and adaptive execution splits the
-partitions of popular phrases.
+A lookup table above the broadcast bound is joined by shuffle instead; the phrases, the
+smallest, are measured on their own so that spans stay local for as long as possible. The
+carrier's join key is then its own address id, so carriers spread evenly, and adaptive
+execution splits the partitions of popular phrases.
 """
 
 from __future__ import annotations
@@ -83,14 +84,23 @@ def choose_phrases(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
         ),
     )
     known = gazetteer.phrases.withColumn("known", F.lit(True))
-    hits = rows.join(gazetteer.lookup(known), ["source_id", "phrase"], "left").where(
+    hits = rows.join(gazetteer.lookup("phrases", known), ["source_id", "phrase"], "left").where(
         F.col("known") | F.col("start").isNull()
     )
     hit = F.when(F.col("start").isNotNull(), F.struct("start", "minus_end", "phrase"))
     chosen = F.array_distinct(F.transform(greedy(F.col("hits")), lambda s: s["phrase"]))
+    # Rows that share an id would be merged: that is refused, not passed over.
+    once = F.when(F.col("n") == 1, F.col("p")).otherwise(
+        F.raise_error(F.lit("address_id must be unique per request"))
+    )
     return (
         hits.groupBy("address_id")
-        .agg(F.first("payload", ignorenulls=True).alias("p"), F.collect_list(hit).alias("hits"))
+        .agg(
+            F.first("payload", ignorenulls=True).alias("p"),
+            F.count_if(F.col("start").isNull()).alias("n"),
+            F.collect_list(hit).alias("hits"),
+        )
+        .withColumn("p", once)
         .select("address_id", "p.*", chosen.alias("chosen"))
     )
 
@@ -113,7 +123,7 @@ def expand_candidates(chosen: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     )
     # Only names with a place word root a candidate.
     entities = gazetteer.lexicon.where(F.col("place_words") > 0)
-    return rows.join(gazetteer.lookup(entities), ["source_id", "phrase"], "left").where(
+    return rows.join(gazetteer.lookup("lexicon", entities), ["source_id", "phrase"], "left").where(
         F.col("entity_id").isNotNull() | F.col("payload").isNotNull()
     )
 
@@ -232,7 +242,7 @@ def respond(gathered: DataFrame, gazetteer: Gazetteer) -> DataFrame:
         F.concat(F.lit("#"), F.col("address_id").cast("string"))
     )
     rows = gathered.withColumn("ask", ask).join(
-        gazetteer.lookup(guesses), ["source_id", "ask"], "left"
+        gazetteer.lookup("guesses", guesses), ["source_id", "ask"], "left"
     )
 
     empty = F.struct(*[F.lit("").alias(n) for n in
@@ -314,7 +324,7 @@ def validate(
     refused are left out; ``sources.requests.route`` tells why. ``partitions`` of the
     exchange default to ``spark.sql.shuffle.partitions``.
     """
-    if gazetteer.small:
+    if "phrases" in gazetteer.small:
         # The one exchange, on the raw request; everything after keeps this partitioning.
         # A number is given because rows grow a lot after it: adaptive execution would
         # merge partitions by their small size here.

@@ -35,7 +35,7 @@ def check(spark, gaz):
 
 def test_goldens(spark, gaz):
     got = check(spark, gaz)
-    assert gaz.small
+    assert gaz.small == {"phrases", "lexicon", "guesses"}
     seven = got["7"]
     assert seven.formatted_address == "Citarum, Bandung Wetan, Kota Bandung, Jawa Barat 40115"
     assert seven.resolution.strategy == ["postal_code_inferred"]
@@ -69,6 +69,12 @@ def test_one_exchange(spark, gaz):
     assert plan.count("Exchange hashpartitioning(address_id") == 1
 
 
+def test_shared_ids_are_refused(spark, gaz):
+    rows = mini.requests(spark).withColumn("address_id", F.lit("same"))
+    with pytest.raises(Exception, match="address_id must be unique"):
+        V.validate(rows, gaz).collect()
+
+
 def test_unknown_source_and_rejects(spark, gaz):
     from alamatika.sources import requests as Q
 
