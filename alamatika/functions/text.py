@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 
-# A run of Unicode white space, including VT and NEL which Java's \s leaves out.
-_SPACE_RUN = r"[\s\x0B\x85\p{Z}]+"
-# A whole token of a text whose white space is already single blanks.
+# Unicode white space besides the blank, with VT and NEL which Java's \s leaves out.
+_SPACES = "".join(
+    map(chr, (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+# A whole token of a text whose white space is already blanks.
 _ADMIN_TOKEN = (
-    r"(?<![^ ])(?:" + "|".join(re.escape(t) for t in K.ADMIN_TOKENS) + r")(?![^ ])"
+    r"(?:^| )(?:" + "|".join(re.escape(t) for t in K.ADMIN_TOKENS) + r")(?= |$)"
 )
-_POSTAL = r"(?<![0-9A-Za-z_])([0-9]{5})(?![0-9A-Za-z_])"
+# Five digits between non-word characters; digits come first so that other characters
+# are passed over quickly.
+_POSTAL = r"([0-9]{5})(?<![0-9A-Za-z_][0-9]{5})(?![0-9A-Za-z_])"
 _CODE_WORD = r"^[0-9]{5}$"
 _CODE_BLOCKS = (
     r"(?is)<!--.*?-->"
@@ -50,13 +55,13 @@ def unescape_newlines(text: Column) -> Column:
 
 
 def fold_words(text: Column) -> Column:
-    """T4: lower case, words separated by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(text), _SPACE_RUN, " "))
+    """T4: lower case, words separated by blanks (T8 makes them single)."""
+    return F.translate(F.lower(text), _SPACES, " " * len(_SPACES))
 
 
 def drop_admin_tokens(folded: Column) -> Column:
-    """T5: remove administrative words that stand as whole tokens."""
-    return F.regexp_replace(folded, _ADMIN_TOKEN, "")
+    """T5: remove administrative words that stand as whole tokens, with the blank before."""
+    return F.regexp_replace(folded, _ADMIN_TOKEN, " ")
 
 
 def postal_codes(text: Column) -> Column:
@@ -70,16 +75,21 @@ def letters_only(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Single blanks, no blanks at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Single blanks, no blanks at the ends; a single blank is left as it is."""
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def normalize(text: Column) -> Column:
     """T3..T8, then the codes appended in order."""
-    # No conditionals: the shared part is then computed once in generated code.
-    kept = drop_admin_tokens(fold_words(unescape_newlines(text)))
-    codes = F.array_join(postal_codes(kept), " ")
-    return F.trim(F.concat(squeeze(letters_only(kept)), F.lit(" "), codes))
+    # No conditionals: the shared part is then computed once in generated code. The text
+    # is lower case with blanks only, so one scan does T5 and T7: a token is decided on
+    # the text as given, and dropping whole tokens neither makes nor breaks a code.
+    folded = fold_words(unescape_newlines(text))
+    codes = F.array_join(postal_codes(folded), " ")
+    letters = F.regexp_replace(
+        F.regexp_replace(folded, _ADMIN_TOKEN + "|[^a-z ]+", ""), " {2,}", " "
+    )
+    return F.trim(F.concat(F.trim(letters), F.lit(" "), codes))
 
 
 def first_postal_code(text: Column) -> Column:

@@ -79,10 +79,10 @@ def dedup_merge(candidates: DataFrame, order: str = "cand_id") -> DataFrame:
     aggs = [F.min_by(F.struct(*rest), F.col(order)).alias("_first")]
     aggs += [F.flatten(F.collect_set(c)).alias(c) for c in lists]
     merged = candidates.groupBy("address_id", candidate_key().alias("cand_key")).agg(*aggs)
-    out = merged.withColumn("strategies", F.array_sort(F.array_distinct("strategies")))
+    out = merged.withColumn("strategies", F.sort_array(F.array_distinct("strategies")))
     if "evidence" in lists:
         # One row of evidence per key: sort (key, row) pairs and keep the last of a run.
-        keyed = F.array_sort(
+        keyed = F.sort_array(
             F.transform("evidence", lambda e: F.struct(evidence_key(e).alias("k"), e.alias("e")))
         )
         out = out.withColumn("_keyed", keyed).withColumn(

@@ -170,7 +170,7 @@ def multi_evidence_bonus() -> Column:
     Sorted by entity, a pass counts each run and pays at its second row: no pairs.
     """
     resolved = F.filter(_EV, lambda e: e["entity_id"].isNotNull())
-    entities = F.array_sort(
+    entities = F.sort_array(
         F.transform(
             resolved,
             lambda e: F.struct(
@@ -195,10 +195,19 @@ def multi_evidence_bonus() -> Column:
 def evaluate(candidates: DataFrame, parents: dict[str, DataFrame] | None) -> DataFrame:
     """E1..E15 of every candidate."""
     rows = hierarchy_conflict(candidates, parents).withColumn("conflicts", conflicts())
-    matched = matched_levels()
+    # Facts used by both score and reasons, computed once per row.
+    facts = {f"_{level}": flag for level, flag in matched_levels().items()}
+    rows = rows.withColumns({
+        **facts,
+        "_exact": has_exact(),
+        "postal_prefix": postal_prefix(),
+        "multi_bonus": multi_evidence_bonus(),
+    })
+    matched = {level: F.col(f"_{level}") for level in SLOT_OF}
+    exact = F.col("_exact")
     city_in_place = F.col("city_id").isNotNull() & F.col("hierarchy_conflict").isNull()
     score = S.confidence(
-        has_exact(),
+        exact,
         city_in_place,
         F.col("postal_id").isNotNull(),
         F.col("postal_prefix"),
@@ -206,13 +215,12 @@ def evaluate(candidates: DataFrame, parents: dict[str, DataFrame] | None) -> Dat
         F.col("multi_bonus"),
     )
     rows = (
-        rows.withColumn("postal_prefix", postal_prefix())
-        .withColumn("multi_bonus", multi_evidence_bonus())
-        .withColumn("confidence", score)
+        rows.withColumn("confidence", score)
         .withColumn("status", S.status(F.col("conflicts"), *_slots()))
         .withColumn("matched", S.matched_components(*_slots(), F.col("postal_id")))
         .withColumn("missing", S.missing_components(*_slots()))
-        .withColumn("reasons", S.reasons(has_exact(), matched, F.col("postal_prefix")))
+        .withColumn("reasons", S.reasons(exact, matched, F.col("postal_prefix")))
+        .drop(*facts, "_exact")
     )
     if "all_evidence" in candidates.columns:
         rows = rows.withColumn("unused", unused_evidence())

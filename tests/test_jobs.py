@@ -16,7 +16,7 @@ from alamatika.sources.request_log import append_log
 from alamatika.streaming import validator
 
 REGIONS = """-- dump
-INSERT INTO wilayah VALUES
+INSERT INTO t VALUES
 ('32','Jawa Barat'),
 ('32.73','Kota Bandung'),('99','ignored'),
 ('32.73.09','Bandung  Wetan'),
