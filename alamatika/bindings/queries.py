@@ -23,10 +23,11 @@ from alamatika.operators import matching as M
 from alamatika.operators import resolution as R
 from alamatika.plans import accuracy as PA
 from alamatika.plans import validate as V
-from alamatika.plans.gazetteer import written
+from alamatika.plans.gazetteer import new_folder, written
 from alamatika.sources import dumps, labelled, regions as S
 from alamatika.sources import requests as Q
-from alamatika.sources.request_log import log_rows
+from alamatika.sources.request_log import append_log, log_rows
+from alamatika.streaming import validator
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,15 +793,18 @@ FROM truth t LEFT JOIN picked a ON a.address_id = t.address_id""",
 }
 
 
-def _compared(spark, d) -> DataFrame:
-    truth = B.orders_with_places(spark, d).select(
+def _truth(spark, d) -> DataFrame:
+    return B.orders_with_places(spark, d).select(
         F.col("o_orderkey").cast("string").alias("address_id"),
         F.concat(F.lit("Prov. "), F.col("r_name")).alias("actual_province"),
         F.upper(F.concat(F.lit("Kota Nation "), B.letters(F.col("n_nationkey")))).alias("actual_city"),
         F.concat(F.lit(" Kec. "), F.col("c_mktsegment"), F.lit(" ")).alias("actual_district"),
         F.concat(F.lit("Kel. "), B.letters(F.col("c_custkey"))).alias("actual_subdistrict"))
+
+
+def _compared(spark, d) -> DataFrame:
     given = B.requests(spark, d).withColumnRenamed("address", "raw_address")
-    return PA.replay(truth.join(given, "address_id"), B.gazetteer(spark, d))
+    return PA.replay(_truth(spark, d).join(given, "address_id"), B.gazetteer(spark, d))
 
 
 @query("accuracy_flags", O.sql(
@@ -844,3 +848,81 @@ def request_log(spark, d):
         F.get_json_object(js, "$.normalized_input").alias("json_normalized"),
         F.get_json_object(js, "$.resolution.candidate_count").alias("json_count"),
         "created_at")
+
+
+# --- files and streams -----------------------------------------------------------------
+# Derived rows are written to the shared folder in the format under test and read back.
+
+@query("request_files", O.sql(
+    "SELECT CASE WHEN bad THEN '' ELSE address_id END AS address_id, CASE WHEN bad THEN '' ELSE address END AS address, "
+    "bad AS corrupt FROM (SELECT *, CAST(address_id AS BIGINT) % 5 = 0 AS bad FROM requests)"))
+def request_files(spark, d):
+    """JSON lines (S4); every fifth line is cut off and must be reported as corrupt."""
+    line = F.to_json(F.struct("address_id", "address", "source_code"))
+    cut = F.when(
+        F.col("address_id").cast("long") % 5 == 0, F.substring(line, F.lit(1), F.length(line) - 3)
+    ).otherwise(line)
+    path = new_folder(spark)
+    B.requests(spark, d).select(cut.alias("value")).write.text(path)
+    corrupt = F.col("_corrupt_record").isNotNull()
+    rows = Q.read_requests(spark, path)
+    return rows.select(
+        *[F.when(corrupt, F.lit("")).otherwise(F.col(c)).alias(c) for c in ("address_id", "address")],
+        corrupt.alias("corrupt"))
+
+
+@query("labelled_csv", O.sql(
+    "SELECT regexp_replace(replace(address, ', ', ',' || chr(10)), '^\\s+|\\s+$', '', 'g') AS raw_address, tp AS actual_province, "
+    "tc AS actual_city, trim(td) AS actual_district, ts AS actual_subdistrict FROM truth JOIN requests USING (address_id)",
+    extra=_FLAGS))
+def labelled_csv(spark, d):
+    """Labelled rows with quoted commas and line breaks (S3)."""
+    lines = F.replace("address", F.lit(", "), F.lit(",\n"))
+    rows = _truth(spark, d).join(B.requests(spark, d), "address_id").select(
+        F.lit("web").alias("Source"), F.lit("u").alias("SERP"), lines.alias("Address Raw"),
+        *[f"actual_{level}" for level in A.LEVELS])
+    path = new_folder(spark)
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return labelled.read_labelled(spark, path)
+
+
+@query("accuracy_sink", O.sql(
+    "SELECT 'kemendagri' AS source, ok, same_province, same_city, same_district, same_subdistrict, 'r1' AS run_id FROM flags",
+    extra=_FLAGS))
+def accuracy_sink(spark, d):
+    """Accuracy records written as JSON of one run and read back."""
+    path = new_folder(spark)
+    records = A.nested(_compared(spark, d), "kemendagri")
+    labelled.write_accuracy(records, path, "r1")
+    back = spark.read.schema(records.schema.add("run_id", "string")).json(path)
+    return back.select(
+        "source", F.col("quality").isNotNull().alias("ok"),
+        *[f"comparison.same_{level}" for level in A.LEVELS], "run_id")
+
+
+@query("log_sink", O.sql("SELECT address_id, formatted_address AS normalized_address, confidence FROM answers"))
+def log_sink(spark, d):
+    """The request log appended as Parquet and read back."""
+    path = new_folder(spark)
+    append_log(_validated(spark, d), path)
+    return spark.read.parquet(path).select("address_id", "normalized_address", "confidence")
+
+
+@query("stream_validate", O.sql(
+    "SELECT r.address_id, coalesce(a.formatted_address, '') AS formatted_address, coalesce(a.confidence, CAST(0 AS DOUBLE)) AS confidence, "
+    "coalesce(r.reject_reason, '') AS reject_reason FROM routed r LEFT JOIN answers a ON a.address_id = r.address_id"))
+def stream_validate(spark, d):
+    """ST1: request files replayed as a stream; the log and the refused requests together."""
+    inbox, log, bad, marks = (new_folder(spark) for _ in range(4))
+    B.requests(spark, d).repartition(4).write.json(inbox)
+    stream = Q.read_requests(spark, inbox, stream=True, files_per_batch=2)
+    validator.start(
+        stream, B.gazetteer(spark, d), log, bad, marks, availableNow=True
+    ).awaitTermination()
+    done = spark.read.parquet(log).select(
+        "address_id", F.col("normalized_address").alias("formatted_address"), "confidence",
+        F.lit("").alias("reject_reason"))
+    refused = spark.read.parquet(bad).select(
+        "address_id", F.lit("").alias("formatted_address"), F.lit(0.0).alias("confidence"),
+        "reject_reason")
+    return done.unionByName(refused)

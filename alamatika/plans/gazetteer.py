@@ -99,12 +99,17 @@ class Gazetteer:
         return F.broadcast(df) if name in self.small else df
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/alamatika-{uuid.uuid4().hex}"
+
+
 class _Writer:
     """Writes tables under one new folder and reads them back."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/alamatika-{uuid.uuid4().hex}"
+        self.folder = new_folder(spark)
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"

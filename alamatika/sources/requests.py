@@ -15,12 +15,16 @@ MALFORMED = "invalid request body"
 UNKNOWN_SOURCE = "unknown location source"
 
 
-def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_requests(
+    spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
     """JSON lines {address, source_code, address_id}, batch or stream.
 
     A line that is not valid JSON keeps its text in ``_corrupt_record``.
     """
     reader = spark.readStream if stream else spark.read
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.schema(REQUEST_SCHEMA)
         .option("mode", "PERMISSIVE")
