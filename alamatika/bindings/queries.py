@@ -220,11 +220,11 @@ def level_dimension(spark, d):
 
 
 @query("postal_left_join", O.sql(
-    f"SELECT a.kode, a.name, CASE WHEN c.c_custkey % 4 <> 0 THEN {O.postal('c.c_custkey', '3000')} END AS postal_code "
+    f"SELECT a.kode, a.name, {O.postal('c.c_custkey', '3000')} AS postal_code "
     "FROM all_regions a LEFT JOIN customer c ON a.level_id = 5 AND a.id = c.c_custkey + 1000000 WHERE a.source_id = 1"))
 def postal_left_join(spark, d):
     r = B.regions(spark, d).where(F.col("source_id") == 1)
-    codes = r.where((F.col("level_id") == 5) & (F.col("id") % 4 != 0)).select("kode", "postal_code")
+    codes = r.where(F.col("level_id") == 5).select("kode", "postal_code")
     return G.attach_postal_codes(r, codes).select("kode", "name", "postal_code")
 
 
@@ -261,10 +261,10 @@ def register_sources(spark, d):
 
 @query("insert_or_ignore", O.sql(
     "SELECT kode, norm_name, CAST(level_id AS INTEGER) AS level_id, coalesce(postal_code, '') AS postal_code FROM regions "
-    "WHERE source_id = 1 AND level_id > 3"))
+    "WHERE level_id > 3"))
 def insert_or_ignore(spark, d):
     """Provinces and cities exist; every region arrives twice, the first line wins."""
-    r = B.regions(spark, d).where(F.col("source_id") == 1)
+    r = B.regions(spark, d)
     rows = r.select("source_id", "kode", "name", "level_id", "postal_code",
                     F.col("id").alias("line_pos"))
     again = rows.withColumn("name", F.lit("late copy")).withColumn(
@@ -275,10 +275,10 @@ def insert_or_ignore(spark, d):
 
 
 @query("insert_ids", O.sql(
-    "SELECT count(*) AS n, count(*) AS n_ids, TRUE AS above FROM regions WHERE source_id = 1 AND level_id > 3"))
+    "SELECT count(*) AS n, count(*) AS n_ids, TRUE AS above FROM regions WHERE level_id > 3"))
 def insert_ids(spark, d):
     """New ids are unique and above the existing ones."""
-    r = B.regions(spark, d).where(F.col("source_id") == 1)
+    r = B.regions(spark, d)
     have = r.where(F.col("level_id") <= 3)
     rows = r.select("source_id", "kode", "name", "level_id", "postal_code",
                     F.col("id").alias("line_pos"))

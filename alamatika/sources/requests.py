@@ -51,17 +51,15 @@ def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def with_address_ids(requests: DataFrame) -> DataFrame:
-    """Give requests without ids a unique one per row of a file scan."""
-    return requests.withColumn(
-        "address_id",
-        F.coalesce(
-            F.col("address_id"),
-            F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string")),
-        )
-        if "address_id" in requests.columns
-        else F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string")),
-    )
+def with_address_ids(requests: DataFrame, prefix: str = "row-") -> DataFrame:
+    """Give requests without ids a unique one per row of a scan.
+
+    The id is the prefix and the row's place in its task; a prefix of the run or batch
+    keeps ids of several runs apart.
+    """
+    made = F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string"))
+    given = F.col("address_id") if "address_id" in requests.columns else F.lit(None)
+    return requests.withColumn("address_id", F.coalesce(given.cast("string"), made))
 
 
 def registry_of(sources: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def process_batch(
     default_source: str = K.DEFAULT_SOURCE,
 ) -> None:
     """Write the log rows and the refused requests of one micro-batch."""
-    requests = Q.with_address_ids(batch).persist()  # read twice, released below
+    requests = Q.with_address_ids(batch, f"batch-{batch_id}-row-").persist()  # read twice, released below
     routed = Q.route(requests, gazetteer.registry, default_source)
     log_rows(validate(requests, gazetteer, default_source)).write.mode("overwrite").parquet(
         f"{log_path}/batch_id={batch_id}"

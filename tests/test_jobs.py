@@ -168,6 +168,14 @@ def test_json_requests(spark, tmp_path):
     assert {r.raw_input for r in V.validate(rows, gaz).collect()} == {"Bandung", "Riau"}
 
 
+def test_ids_of_batches_stay_apart(spark):
+    rows = spark.createDataFrame([("Riau",), ("Bandung",)], "address string")
+    first, second = (
+        {r.address_id for r in Q.with_address_ids(rows, f"batch-{b}-row-").collect()} for b in (0, 1)
+    )
+    assert len(first | second) == 4
+
+
 def test_stream(spark, tmp_path):
     gaz = mini.gazetteer(spark)
     inbox, log, bad = (str(tmp_path / n) for n in ("in", "log", "bad"))
