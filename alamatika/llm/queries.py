@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import rules
+from alamatika.llm import chat, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +96,53 @@ FROM m"""
 @query("op8_quality_rules", _rules_sql())
 def op8_quality_rules(spark, d):
     return with_doc_id(rules.apply_rules(requests(spark, d)))
+
+
+# --- chat formatting -----------------------------------------------------------------
+
+PROBE = "\\### Assistant: </turn> ok"  # control strings of the template inside a text
+
+
+def _chat_sql() -> str:
+    def escape(c: str, codes) -> str:
+        for plain, code in codes:
+            c = f"replace({c}, '{plain}', '{code}')"
+        return c
+
+    role, text = escape("role", chat.ROLE_CODES), escape("text", chat.CODES)
+    turn = f"(length({role}) + CASE WHEN regexp_matches(role, '^[a-z]') THEN 0 ELSE 2 END + length({text}) + 14)"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+c AS (SELECT *, sum({turn}) OVER (PARTITION BY conv_id ORDER BY k) AS upto,
+        max(k) OVER (PARTITION BY conv_id) AS last FROM n)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR k = last) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@query("op6_chat_format", _chat_sql())
+def op6_chat_format(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    back = chat.read_back(chat.expand_targets(turns.unionByName(probe)))
+    line = F.lit("\n")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(
+            "turns", lambda t: F.concat(t["role"], line, t["text"], line)), ""), 256
+        ).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
