@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, rules
+from alamatika.llm import chat, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,10 @@ def op6_chat_format(spark, d):
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+# --- near-duplicates -----------------------------------------------------------------
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark, d):
+    return with_doc_id(simhash.near_duplicates(requests(spark, d)))
