@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, rules, simhash
+from alamatika.llm import chat, decontaminate, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,45 @@ def op6_chat_format(spark, d):
 @query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark, d):
     return with_doc_id(simhash.near_duplicates(requests(spark, d)))
+
+
+# --- benchmark decontamination -------------------------------------------------------
+
+def _leaks_sql() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    words = (
+        f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), "
+        "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    )
+    gram = "array_to_string(words[i:i + w - 1], ' ')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+b AS (SELECT item_id, {words} AS words FROM benchmark),
+s AS (SELECT item_id, words, least({decontaminate.PHRASE_WORDS}, len(words)) AS w FROM b WHERE len(words) > 0),
+iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, w, {gram} AS g
+       FROM (SELECT *, unnest(range(1, len(words) - w + 2)) AS i FROM s)),
+dw AS (SELECT r, i, w, {gram} AS g
+       FROM (SELECT d.r, d.words, k.w, unnest(range(1, len(d.words) - k.w + 2)) AS i
+             FROM d, (SELECT DISTINCT w FROM iw) AS k)),
+hit AS (SELECT r, i, w, item FROM dw JOIN iw USING (g, w)),
+n AS (SELECT r, count(DISTINCT p) AS n_hit
+      FROM (SELECT r, unnest(range(i, i + w)) AS p FROM hit) GROUP BY r),
+x AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r)"""
+
+
+@query("op2_benchmark_decontamination", _leaks_sql())
+def op2_benchmark_decontamination(spark, d):
+    labels = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("label_id"), F.col("text").alias("address_raw")
+    )
+    found = decontaminate.find_leaks(requests(spark, d), labels)
+    return found.select(
+        F.col("address_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("label_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("label_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
