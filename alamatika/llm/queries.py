@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, decontaminate, rules, simhash
+from alamatika.llm import chat, decontaminate, pieces, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +195,16 @@ def op2_benchmark_decontamination(spark, d):
         F.sha2(F.array_join("label_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# --- SentencePiece -------------------------------------------------------------------
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, d):
+    """Ids of every text, and the text decoded from them."""
+    back = pieces.decode_requests(pieces.encode_requests(requests(spark, d)))
+    return back.select(
+        F.col("address_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("raw_input", 256).alias("decoded_sha256"),
+    )
