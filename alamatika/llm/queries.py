@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, decontaminate, pieces, rules, simhash
+from alamatika.llm import chat, decontaminate, pieces, quality, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,3 +208,37 @@ def op3_sentencepiece(spark, d):
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("raw_input", 256).alias("decoded_sha256"),
     )
+
+
+# --- classifiers ---------------------------------------------------------------------
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n: the fold of a document."""
+    return F.crc32(F.encode(F.col("address_id").cast("string"), "UTF-8")) % n
+
+
+def labels(spark: SparkSession, sf_dir: str, n: int, held_out: int) -> DataFrame:
+    """Labels of the rows that may be learnt from."""
+    rows = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "address_id")
+    return rows.where(remainder(n) != held_out).select("address_id", "quality", "toxic")
+
+
+def _predicted(scored: DataFrame, n: int, held_out: int, least: float) -> DataFrame:
+    return scored.select(
+        F.col("address_id").alias("doc_id"), (remainder(n) == held_out).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, d):
+    docs = requests(spark, d)
+    model = toxicity.train(docs, labels(spark, d, 3, 1))
+    return _predicted(toxicity.score_requests(docs, model), 3, 1, toxicity.TOXIC_FROM)
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, d):
+    docs = requests(spark, d)
+    model = quality.train(docs, labels(spark, d, 5, 0))
+    return _predicted(quality.score_requests(docs, model), 5, 0, quality.GOOD_FROM)
