@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of request texts by suffix-array matching.
 
-A batch of texts is normalised and cut where no piece can cross (before a blank mark that
-follows another character). The distinct stretches are concatenated and their suffixes
+A batch of texts is normalised and cut where no piece of the vocabulary can cross: between
+two characters that no piece has in a row. The distinct stretches are concatenated and their suffixes
 sorted; every piece of the vocabulary finds its range of occurrences by binary search. The
 occurrences are the edges of the batch; sorted by position they are relaxed:
 
@@ -22,7 +22,6 @@ files here have none.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +35,8 @@ BLANK = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_STRETCH = re.compile("▁*[^▁]+|▁+")
-KNOWN_STRETCHES = 400_000  # stretches and pairs remembered from batch to batch
+KNOWN_STRETCHES = 300_000  # stretches and pairs remembered from batch to batch
+INDEX_CHARS = 400_000  # characters indexed at once (or one longer stretch)
 BATCH_CHARS = 4_000_000  # characters of a batch beyond which it is cut between texts
 
 
@@ -94,8 +93,14 @@ class Model:
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
         if not (self.bpe or train.get(3, UNIGRAM) == UNIGRAM):
             raise ValueError("only unigram and BPE vocabularies are encoded")
-        # Blanks start a stretch if no piece has one after another character.
-        self.cut = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        # A text is cut between two characters that no piece has in a row.
+        letters = sorted({ord(c) for p in self.ids for c in p})
+        self.letter = np.zeros(0x110000, dtype=np.int16)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.in_a_row = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+        for p in self.ids:
+            row = self.letter[list(map(ord, p))]
+            self.in_a_row[row[:-1], row[1:]] = True
         usable = [p for p in self.ids if not self.bpe or len(p) == 1 or self.merge(p) == [p]]
         self.longest = max(map(len, usable), default=1)
         codes = np.zeros((len(usable), self.longest), dtype=np.uint32)
@@ -231,7 +236,7 @@ def encode_stretches(stretches: list[str], model: Model) -> list[bytes]:
     ids = np.concatenate([ids, np.full(len(alone), -1)])
     origin = np.repeat(first, lengths + 1)
     step = end - origin[start]  # positions of all stretches with one distance are relaxed at once
-    by = np.argsort(step)
+    by = np.argsort(step.astype(np.int16), kind="stable") if lengths.max() < 1 << 15 else np.argsort(step)
     start, end, ids, step = start[by], end[by], ids[by], step[by]
     last = np.full(len(codes) + 1, -2, dtype=np.int64)  # id that reaches a position
     came = np.zeros(len(codes) + 1, dtype=np.int64)
@@ -293,10 +298,10 @@ def _with_unknowns(text: str, ids: list[int], model: Model) -> bytes:
 
 
 def _stretches(text: str, model: Model) -> list[str]:
-    """A normalised text, cut before every run of blanks that follows another character."""
-    if not model.cut:
-        return [text] if text else []
-    return _STRETCH.findall(text)
+    """A normalised text, cut where no piece can cross."""
+    letter = model.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    cuts = (np.flatnonzero(~model.in_a_row[letter[:-1], letter[1:]]) + 1).tolist()
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if text else []
 
 
 def encode_texts(texts: list[str | None], model: Model) -> list[np.ndarray | None]:
@@ -308,7 +313,13 @@ def encode_texts(texts: list[str | None], model: Model) -> list[np.ndarray | Non
         model.apart.clear()
     own = [None if t is None else _stretches(model.normal(t), model) for t in texts]
     new = list(set().union(*(x for x in own if x)) - known.keys())
-    known.update(zip(new, encode_stretches(new, model)))
+    ends = np.cumsum([len(x) + 1 for x in new])
+    begin = 0
+    while begin < len(new):
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + INDEX_CHARS, side="right"))
+        end = max(begin + 1, end)
+        known.update(zip(new[begin:end], encode_stretches(new[begin:end], model)))
+        begin = end
     return [
         None if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), dtype=np.int32)
         for x in own

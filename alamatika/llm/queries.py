@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, decontaminate, pieces, quality, rules, simhash, toxicity
+from alamatika.llm import chat, decontaminate, pieces, pii, quality, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,3 +242,16 @@ def op10_quality_classifier(spark, d):
     docs = requests(spark, d)
     model = quality.train(docs, labels(spark, d, 5, 0))
     return _predicted(quality.score_requests(docs, model), 5, 0, quality.GOOD_FROM)
+
+
+# --- personal data -------------------------------------------------------------------
+
+@query("op9_personal_data")
+def op9_personal_data(spark, d):
+    found = pii.find_entities(requests(spark, d))
+    return found.select(
+        F.col("address_id").alias("doc_id"),
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.span_text(pii.base_spans()), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+    )
