@@ -24,6 +24,7 @@ empty tables are fine (without labels everything is clean); further columns are
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ _FOLD = bytes(
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
+_RUN = re.compile(b"[^ ]+")
+
 
 class Phrases:
     """Phrases of a block of labels: symbols of words, phrases by length, their labels."""
@@ -273,10 +276,10 @@ def _label_blocks(labels: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
         yield [(r["label_id"], r["address_raw"]) for r in part.collect()]
 
 
-def _shards(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts exceed about ``SHARD_WORDS`` words."""
+def _shards(parts: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the texts of column ``text`` exceed about ``SHARD_WORDS`` words."""
     for part in parts:
-        size = np.cumsum([0] + [len(t.as_py() or "") // 6 for t in part.column("raw_input")])
+        size = np.cumsum([0] + [len(t.as_py() or "") // 6 for t in part.column(text)])
         begin = 0
         while begin < part.num_rows:
             end = int(np.searchsorted(size, size[begin] + SHARD_WORDS, side="right")) - 1
@@ -290,7 +293,7 @@ def _search(requests: DataFrame, phrases: Phrases) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        for shard in _shards(parts):
+        for shard in _shards(parts, 1):
             rows = search_texts(shard.column("raw_input").to_pylist(), phrases)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -361,3 +364,54 @@ def _search_blocks(requests: DataFrame, blocks: Iterator[list[tuple[str, str | N
         merged.select("row", "n_words", joined.alias("spans"), "label_ids"), "row"
     ).drop("row")
 
+
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of each span and what stands between them."""
+    data = text.encode("utf-8", "surrogatepass")
+    words = [m.span() for m in _RUN.finditer(data.translate(_FOLD))]
+    out, at = [], 0
+    for begin, end in spans:
+        out.append(data[at : words[begin][0]])
+        at = words[end - 1][1]
+    out.append(data[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def clean_texts(texts: list[str | None], phrases: Phrases) -> list[str | None]:
+    """Texts without test phrases, searched again until none is left, as a cut may join
+    words to a new phrase.
+    """
+    out = list(texts)
+    open_ = list(range(len(out)))
+    while open_:
+        found = search_texts([out[k] for k in open_], phrases)
+        hit = [(k, spans) for k, (_, spans, _) in zip(open_, found) if spans]
+        for k, spans in hit:
+            out[k] = without_spans(out[k], spans)
+        open_ = [k for k, _ in hit]
+    return out
+
+
+def remove_leaks(rows: DataFrame, labels: DataFrame, text_column: str = "raw_input") -> DataFrame:
+    """The rows, with all their columns, without the removal spans of their texts. A text
+    that was nothing but test phrases goes with its row.
+    """
+    schema, at = rows.schema, rows.columns.index(text_column)
+
+    def remover(phrases: Phrases):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in _shards(parts, at):
+                texts = shard.column(at).to_pylist()
+                clean = clean_texts(texts, phrases)
+                kept = [a == b or bool(words_of(b)) for a, b in zip(texts, clean)]
+                columns = list(shard.columns)
+                columns[at] = pa.array(clean, columns[at].type)
+                whole = pa.RecordBatch.from_arrays(columns, shard.schema.names)
+                yield whole.filter(pa.array(kept, pa.bool_()))
+
+        return run
+
+    for block in _label_blocks(labels):
+        rows = rows.mapInArrow(remover(Phrases(block)), schema)
+    return rows

@@ -284,3 +284,23 @@ def near_duplicates(requests: DataFrame) -> DataFrame:
     return prints.join(named, "fp", "left").select(
         "address_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_copies(rows: DataFrame, id_column: str = "address_id", text_column: str = "raw_input") -> DataFrame:
+    """The rows, with all their columns, that stand for their component: those of its
+    smallest id, once. Rows with a null id cannot be named and stay.
+    """
+    named = near_duplicates(
+        rows.select(F.col(id_column).alias("address_id"), F.col(text_column).alias("raw_input"))
+    )
+    ids = named.where("address_id IS NOT NULL").groupBy("address_id").agg(
+        F.count("*").alias("n"), F.min("component_id").alias("first")
+    )
+    ids = written(ids, "ids")
+    gone = ids.where("address_id <> first").select(F.col("address_id").alias(id_column))
+    kept = rows.join(gone, id_column, "left_anti").select(*rows.columns)
+    if ids.where("n > 1 AND address_id = first").isEmpty():
+        return kept
+    return kept.where(F.col(id_column).isNull()).unionByName(
+        kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
+    )

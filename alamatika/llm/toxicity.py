@@ -167,3 +167,14 @@ def score_requests(requests: DataFrame, model: Model) -> DataFrame:
             )
 
     return requests.select("address_id", "raw_input").mapInArrow(run, f"address_id {id_type}, score double")
+
+
+def drop_toxic(rows: DataFrame, model: Model, text_column: str = "raw_input") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``TOXIC_FROM``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column(part.schema.get_field_index(text_column))
+            yield part.filter(pa.array([model.score(t.as_py()) < TOXIC_FROM for t in texts], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
