@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, decontaminate, pieces, pii, quality, rules, simhash, toxicity
+from alamatika.llm import chat, decontaminate, licences, pieces, pii, quality, rules, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -255,3 +255,50 @@ def op9_personal_data(spark, d):
         F.sha2(pii.span_text(pii.base_spans()), 256).alias("base_sha256"),
         pii.span_text(F.col("spans")).alias("spans"),
     )
+
+
+# --- web archives --------------------------------------------------------------------
+
+@query("op1_warc_zip", """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest FROM pages),
+h AS (
+  SELECT payload_digest, max(page_id) AS head FROM p
+  WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON h.payload_digest = p.payload_digest AND payload_bytes >= 1000""")
+def op1_warc_zip(spark, d):
+    pages = table(spark, d, "pages")
+    log = pages.select(
+        F.col("page_id").alias("address_id"), F.col("url").alias("raw_input"),
+        F.col("html").alias("output_json"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    kind = pages.schema["page_id"].dataType
+    return warc.archive_round_trip(spark, log).select(
+        F.col("address_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+# --- licences ------------------------------------------------------------------------
+
+@query("op7_licence_scan")
+def op7_licence_scan(spark, d):
+    """Documents as files of their source and language; short ones that hold little but a
+    licence line are the licence files of that folder.
+    """
+    short = (F.char_length("text") < 120) & F.col("text").rlike(licences.LICENCE_LINE)
+    path = F.concat_ws(
+        "/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")),
+        F.concat(F.when(short, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string")),
+    )
+    files = table(spark, d, "documents").select(path.alias("path"), F.col("text").alias("content"))
+    found = licences.scan_licences(files)
+    number = F.regexp_extract("path", "-(-?[0-9]+)$", 1).cast("long")
+    return found.select(
+        number.alias("doc_id"), "path", "licence",
+        F.col("inherited_from").isNotNull().alias("inherited"), "inherited_from",
+    )
