@@ -36,8 +36,8 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 KNOWN_STRETCHES = 300_000  # stretches and pairs remembered from batch to batch
-INDEX_CHARS = 400_000  # characters indexed at once (or one longer stretch)
-BATCH_CHARS = 4_000_000  # characters of a batch beyond which it is cut between texts
+INDEX_CHARS = 200_000  # characters indexed at once (or one longer stretch)
+BATCH_CHARS = 1_000_000  # characters of a batch beyond which it is cut between texts
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -84,15 +84,24 @@ class Model:
         train, norm = dict(_fields(trainer)), dict(_fields(normalizer))
         if norm.get(2):
             raise ValueError("the vocabulary has a normalisation table")
-        self.bpe = train.get(3, UNIGRAM) == BPE
         self.dummy_prefix = bool(norm.get(3, 1))
         self.trim = bool(norm.get(4, 1))
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
+        self.special = np.isin(self.kinds, (UNKNOWN, CONTROL, BYTE))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
-        self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
-        if not (self.bpe or train.get(3, UNIGRAM) == UNIGRAM):
+        self.kind = train.get(3, UNIGRAM)
+
+
+class Encoder(Model):
+    """A vocabulary with the tables that encoding needs."""
+
+    def __init__(self, data: bytes):
+        super().__init__(data)
+        if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE vocabularies are encoded")
+        self.bpe = self.kind == BPE
+        self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
         # A text is cut between two characters that no piece has in a row.
         letters = sorted({ord(c) for p in self.ids for c in p})
         self.letter = np.zeros(0x110000, dtype=np.int16)
@@ -112,7 +121,6 @@ class Model:
         self.score_of = np.array(self.scores)
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        self.special = np.isin(self.kinds, (UNKNOWN, CONTROL, BYTE))
 
     def normal(self, text: str) -> str:
         if self.trim:
@@ -149,8 +157,8 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _loaded(data: bytes) -> Model:
-    return Model(data)
+def _loaded(kind: type[Model], data: bytes) -> Model:
+    return kind(data)
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -180,7 +188,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         width *= 2
 
 
-def match_edges(codes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def match_edges(codes: np.ndarray, model: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, id) of every occurrence of every piece."""
     n = len(codes)
     order = suffix_order(codes, model.longest)
@@ -214,7 +222,7 @@ def match_edges(codes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray
     return start, end, model.edge_ids[piece]
 
 
-def encode_stretches(stretches: list[str], model: Model) -> list[bytes]:
+def encode_stretches(stretches: list[str], model: Encoder) -> list[bytes]:
     """Piece ids of each stretch, as 32-bit words. Edges are sorted by the position where
     they end in their stretch, and all stretches are relaxed side by side.
     """
@@ -297,14 +305,14 @@ def _with_unknowns(text: str, ids: list[int], model: Model) -> bytes:
     return np.array(out, dtype=np.int32).tobytes()
 
 
-def _stretches(text: str, model: Model) -> list[str]:
+def _stretches(text: str, model: Encoder) -> list[str]:
     """A normalised text, cut where no piece can cross."""
     letter = model.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     cuts = (np.flatnonzero(~model.in_a_row[letter[:-1], letter[1:]]) + 1).tolist()
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if text else []
 
 
-def encode_texts(texts: list[str | None], model: Model) -> list[np.ndarray | None]:
+def encode_texts(texts: list[str | None], model: Encoder) -> list[np.ndarray | None]:
     """Ids of each text. Stretches of earlier batches are remembered, up to a bound."""
     known = model.known
     if len(known) > KNOWN_STRETCHES:
@@ -370,13 +378,13 @@ def _batches(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _mapped(df: DataFrame, vocabulary: str, schema: str, change) -> DataFrame:
+def _mapped(df: DataFrame, vocabulary: str, kind: type[Model], schema: str, change) -> DataFrame:
     """``change(batch, model)`` over all record batches; the vocabulary file is broadcast."""
     with open(vocabulary, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(data.value)
+        model = _loaded(kind, data.value)
         for part in parts:
             yield from change(part, model)
 
@@ -387,7 +395,7 @@ def _mapped(df: DataFrame, vocabulary: str, schema: str, change) -> DataFrame:
 def encode_requests(requests: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(address_id, ids): the piece ids of each whole text."""
 
-    def change(part: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
+    def change(part: pa.RecordBatch, model: Encoder) -> Iterator[pa.RecordBatch]:
         for batch in _batches(part):
             ids = encode_texts(batch.column("raw_input").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
@@ -395,7 +403,7 @@ def encode_requests(requests: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
                 ["address_id", "ids"],
             )
 
-    return _mapped(requests.select("address_id", "raw_input"), vocabulary, "ids array<int>", change)
+    return _mapped(requests.select("address_id", "raw_input"), vocabulary, Encoder, "ids array<int>", change)
 
 
 def decode_requests(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -410,5 +418,5 @@ def decode_requests(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFra
         )
 
     return _mapped(
-        encoded.select("address_id", "ids"), vocabulary, "ids array<int>, raw_input string", change
+        encoded.select("address_id", "ids"), vocabulary, Model, "ids array<int>, raw_input string", change
     )

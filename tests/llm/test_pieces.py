@@ -63,7 +63,7 @@ def test_unigram_takes_the_best_path(crossing):
     for piece, score in scores.items():
         data += field(1, field(1, piece.encode()) + field(2, score))
     data += field(2, field(3, P.UNIGRAM)) + field(3, field(3, 1) + field(4, 0))
-    model = P.Model(data)
+    model = P.Encoder(data)
     for _ in range(60):
         text = "".join(rng.choice("abcd  e") for _ in range(rng.randint(0, 40)))
         best = {0: (0.0, [])}
