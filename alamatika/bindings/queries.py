@@ -539,11 +539,14 @@ SELECT row_number() OVER () AS rid, l_orderkey AS address_id, l_linenumber AS ca
   CASE WHEN l_quantity > 25 THEN l_partkey % 150 + 1000000 END AS s_id,
   CASE WHEN l_quantity > 40 THEN l_suppkey % 150 + 1000000 END AS z_id,
   lpad(CAST(40000 + l_partkey % 700 AS VARCHAR), 5, '0') AS code,
-  lpad(CAST(40000 + l_suppkey % 400 AS VARCHAR), 5, '0') AS given,
+  l_suppkey % 11 <> 0 AS listed,
+  CASE WHEN listed THEN lpad(CAST(40000 + l_suppkey % 400 AS VARCHAR), 5, '0') END AS given,
   l_returnflag AS rf, l_linestatus AS ls,
-  (l_partkey % 25) * 2 + 100 + (l_suppkey % 3) AS e_city,
-  (l_partkey % 25) * 2 + 100 + (l_suppkey % 3) + l_partkey % 2 AS e_city2, l_suppkey % 5 = 0 AS y_known, l_partkey % 5 + 1 + l_suppkey % 2 AS e_prov,
-  l_partkey % 150 + 1000000 AS e_sub
+  CASE WHEN listed THEN (l_partkey % 25) * 2 + 100 + (l_suppkey % 3) END AS e_city,
+  CASE WHEN listed THEN (l_partkey % 25) * 2 + 100 + (l_suppkey % 3) + l_partkey % 2 END AS e_city2,
+  listed AND l_suppkey % 5 = 0 AS y_known,
+  CASE WHEN listed THEN l_partkey % 5 + 1 + l_suppkey % 2 END AS e_prov,
+  CASE WHEN listed THEN l_partkey % 150 + 1000000 END AS e_sub
 FROM lineitem""",
     "ev": """
 SELECT rid, e_city AS entity_id, 'CITY' AS level FROM st
@@ -574,7 +577,7 @@ SELECT *, CASE WHEN hc IS NOT NULL THEN 'hierarchy_conflict:' || hc END AS k1,
   CASE WHEN s_id <> e_sub THEN 'duplicate_level:duplicate SUBDISTRICT: N' || e_sub END AS k6 FROM lv""",
     "sc": """
 SELECT *, array_to_string(list_filter([k1, k2, k3, k4, k4b, k5, k5b, k6], lambda x: x IS NOT NULL), ';') AS conflicts,
-  round(least(CAST(1 AS DOUBLE), CAST(0.1 AS DOUBLE)
+  round(least(CAST(1 AS DOUBLE), CASE WHEN listed THEN CAST(0.1 AS DOUBLE) ELSE 0 END
    + CASE WHEN hc IS NULL AND c_id IS NOT NULL THEN CAST(0.15 AS DOUBLE) ELSE 0 END
    + CASE WHEN z_id IS NOT NULL THEN CAST(0.05 AS DOUBLE) + prefix ELSE 0 END
    + hit_p * CAST(0.15 AS DOUBLE) + hit_c * CAST(0.12 AS DOUBLE) + hit_s * CAST(0.05 AS DOUBLE)
@@ -589,12 +592,12 @@ FROM cf""",
 def _structured(spark, d) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
 
-    def item(kind, value, entity, level):
+    def item(kind, value, entity, level, mark="N"):
         return F.struct(
             F.lit(kind).alias("type"), value.alias("value"),
             entity.cast("long").alias("entity_id"),
             F.when(entity.isNotNull(), F.lit(level)).alias("level"),
-            F.concat(F.lit("N"), entity.cast("string")).alias("name"))
+            F.concat(F.lit(mark), entity.cast("string")).alias("name"))
 
     city = (p % 25) * 2 + 100 + s % 3
     return B.table(spark, d, "lineitem").select(
@@ -605,14 +608,16 @@ def _structured(spark, d) -> DataFrame:
         F.when(F.col("l_quantity") > 25, p % 150 + 1_000_000).alias("subdistrict_id"),
         F.when(F.col("l_quantity") > 40, s % 150 + 1_000_000).alias("postal_id"),
         F.lpad((p % 700 + 40000).cast("string"), 5, "0").alias("postal_code"),
-        F.array(
+        F.when(s % 11 != 0, F.array(  # some rows have no list of evidence at all
             item("place_name", F.col("l_returnflag"), city, "CITY"),
-            item("place_name", F.col("l_linestatus"), city + p % 2, "CITY"),
+            # Where both cities are one, it has another spelling here.
+            F.when(p % 2 == 0, item("place_name", F.col("l_linestatus"), city, "CITY", "other N"))
+            .otherwise(item("place_name", F.col("l_linestatus"), city + 1, "CITY")),
             item("place_name", F.lit("x"), p % 5 + 1 + s % 2, "PROVINCE"),
             item("place_name", F.lit("y"), F.when(s % 5 == 0, p % 5 + 1 + s % 2), "PROVINCE"),
             item("postal_code", F.lpad((s % 400 + 40000).cast("string"), 5, "0"),
                  p % 150 + 1_000_000, "SUBDISTRICT"),
-        ).alias("evidence"),
+        )).alias("evidence"),
         F.array(*[
             F.struct(F.lit("place_name").alias("type"), v.alias("value"))
             for v in (F.col("l_returnflag"), F.lit("z"), F.col("l_linestatus"), F.lit("y"), F.lit("w"))
@@ -647,7 +652,7 @@ def components(spark, d):
 
 
 @query("unused_evidence", _st_sql(
-    "array_to_string(list_filter([rf, 'z', ls, 'y', 'w'], lambda v: v NOT IN (rf, ls, 'x', 'y', given)), ',') AS unused", "st"))
+    "array_to_string(list_filter([rf, 'z', ls, 'y', 'w'], lambda v: NOT listed OR v NOT IN (rf, ls, 'x', 'y', given)), ',') AS unused", "st"))
 def unused_evidence(spark, d):
     return _structured(spark, d).select(
         *_KEY, csv(F.transform(E.unused_evidence(), lambda e: e["value"])).alias("unused"))
@@ -667,9 +672,9 @@ def postal_prefix(spark, d):
 
 
 @query("multi_evidence", O.sql(
-    "SELECT address_id, cand_id, multi_bonus FROM st JOIN (SELECT rid, least(CAST(0.4 AS DOUBLE), sum(CASE WHEN n < 2 THEN CAST(0 AS DOUBLE) WHEN level = 'PROVINCE' "
+    "SELECT address_id, cand_id, coalesce(multi_bonus, CAST(0 AS DOUBLE)) AS multi_bonus FROM st LEFT JOIN (SELECT rid, least(CAST(0.4 AS DOUBLE), sum(CASE WHEN n < 2 THEN CAST(0 AS DOUBLE) WHEN level = 'PROVINCE' "
     "THEN CAST(0.2 AS DOUBLE) WHEN level = 'CITY' THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END)) AS multi_bonus "
-    "FROM (SELECT rid, entity_id, max(level) AS level, count(*) AS n FROM ev GROUP BY rid, entity_id) GROUP BY rid) "
+    "FROM (SELECT rid, entity_id, max(level) AS level, count(*) AS n FROM ev WHERE entity_id IS NOT NULL GROUP BY rid, entity_id) GROUP BY rid) "
     "USING (rid)", extra=_STRUCTURED))
 def multi_evidence(spark, d):
     return _structured(spark, d).select(*_KEY, E.multi_evidence_bonus().alias("multi_bonus"))
@@ -686,7 +691,7 @@ def status(spark, d):
 
 
 @query("reasons", _st_sql(O.joined(
-    "'exact_match', CASE WHEN hit_p = 1 THEN 'match_province' END, CASE WHEN hit_c = 1 THEN 'match_city' END, "
+    "CASE WHEN listed THEN 'exact_match' END, CASE WHEN hit_p = 1 THEN 'match_province' END, CASE WHEN hit_c = 1 THEN 'match_city' END, "
     "CASE WHEN hit_s = 1 THEN 'match_subdistrict' END, "
     "CASE WHEN code = given THEN 'match_postal_code_exact' WHEN left(code, 4) = left(given, 4) THEN 'match_postal_code_prefix4' "
     "WHEN left(code, 3) = left(given, 3) THEN 'match_postal_code_prefix3' END") + " AS reasons"))

@@ -37,7 +37,7 @@ def prefix_score(evidence: Column, code: Column) -> Column:
 
 def capped_bonus(bonus: Column) -> Column:
     """The multi-evidence bonus never exceeds its cap."""
-    return F.round(F.least(F.lit(K.MAX_MULTI), bonus), 4)
+    return F.round(F.least(F.lit(K.MAX_MULTI), F.coalesce(bonus, F.lit(0.0))), 4)
 
 
 def flat_bonus(repeated: dict[str, Column]) -> Column:

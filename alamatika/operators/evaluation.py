@@ -2,7 +2,7 @@
 
 Besides the candidate columns a row carries ``evidence``, the array of its matched
 evidence (type, value, entity_id, level, name), and may carry ``all_evidence``, the
-array of (type, value) found in the text. Only E1 needs other tables; all else is
+array of (type, value) found in the text. A null array counts as an empty one. Only E1 needs other tables; all else is
 row-local, so a table of structured addresses is checked without a shuffle.
 """
 
@@ -16,7 +16,9 @@ from alamatika.functions import scoring as S
 from alamatika.operators.bounded import broadcast_if_small
 from alamatika.operators.candidates import SLOT_OF, SLOTS
 
-_EV = "evidence"
+
+def _ev(column: str = "evidence") -> Column:
+    return F.coalesce(F.col(column), F.array())
 
 
 def _slots() -> list[Column]:
@@ -57,10 +59,10 @@ def hierarchy_conflict(candidates: DataFrame, parents: dict[str, DataFrame] | No
 
 def unused_evidence() -> Column:
     """Evidence of the text whose value no matched evidence has."""
-    used = F.array(F.transform(_EV, lambda e: e["value"]))
+    used = F.array(F.transform(_ev(), lambda e: e["value"]))
     left = F.transform(
         used,  # one element, so the list of used values is built once
-        lambda u: F.filter("all_evidence", lambda e: ~F.array_contains(u, e["value"])),
+        lambda u: F.filter(_ev("all_evidence"), lambda e: ~F.array_contains(u, e["value"])),
     )
     return F.get(left, F.lit(0))
 
@@ -81,15 +83,24 @@ def orphan_city() -> Column:
 
 
 def multiple_cities() -> Column:
-    """Each distinct city in the evidence that is not the candidate's."""
+    """Each city in the evidence that is not the candidate's, once per id under the name
+    that comes first.
+    """
     other = F.filter(
-        _EV,
+        _ev(),
         lambda e: (e["level"] == K.CITY)
         & F.col("city_id").isNotNull()
         & (e["entity_id"] != F.col("city_id")),
     )
-    distinct = F.array_distinct(
-        F.transform(other, lambda e: F.struct(e["entity_id"].alias("id"), e["name"].alias("name")))
+    city = "array<struct<id:bigint,name:string>>"
+    distinct = F.aggregate(
+        other,
+        F.array().cast(city),
+        lambda done, e: F.when(F.exists(done, lambda d: d["id"] == e["entity_id"]), done).otherwise(
+            F.concat(done, F.array(
+                F.struct(e["entity_id"].cast("bigint").alias("id"), e["name"].alias("name"))
+            ))
+        ),
     )
     kind, text = K.MULTIPLE_CITY
     return F.transform(
@@ -113,7 +124,7 @@ def duplicate_levels() -> Column:
         return F.coalesce(out, F.lit(False))
 
     return F.transform(
-        F.filter(_EV, clashes),
+        F.filter(_ev(), clashes),
         lambda e: F.struct(
             F.lit(kind).alias("type"),
             F.concat(F.lit(text), e["level"], F.lit(": "), F.coalesce(e["name"], F.lit("")))
@@ -137,7 +148,7 @@ def conflicts() -> Column:
 
 def has_exact() -> Column:
     """Whether any evidence is resolved."""
-    return F.exists(_EV, lambda e: e["entity_id"].isNotNull())
+    return F.exists(_ev(), lambda e: e["entity_id"].isNotNull())
 
 
 def matched_levels() -> dict[str, Column]:
@@ -145,7 +156,7 @@ def matched_levels() -> dict[str, Column]:
 
     def confirmed(level: str, slot: str) -> Column:
         return F.col(slot).isNotNull() & F.exists(
-            _EV,
+            _ev(),
             lambda e: F.coalesce(
                 (e["level"] == level) & (e["entity_id"] == F.col(slot)), F.lit(False)
             ),
@@ -157,7 +168,7 @@ def matched_levels() -> dict[str, Column]:
 def postal_prefix() -> Column:
     """Score of the first postal evidence that shares a prefix with the slot."""
     scores = F.transform(
-        F.filter(_EV, lambda e: e["type"] == K.POSTAL_CODE),
+        F.filter(_ev(), lambda e: e["type"] == K.POSTAL_CODE),
         lambda e: S.prefix_score(e["value"], F.col("postal_code")),
     )
     first = F.get(F.filter(scores, lambda s: s > 0), F.lit(0))
@@ -169,7 +180,7 @@ def multi_evidence_bonus() -> Column:
 
     Sorted by entity, a pass counts each run and pays at its second row: no pairs.
     """
-    resolved = F.filter(_EV, lambda e: e["entity_id"].isNotNull())
+    resolved = F.filter(_ev(), lambda e: e["entity_id"].isNotNull())
     entities = F.sort_array(
         F.transform(
             resolved,

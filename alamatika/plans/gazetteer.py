@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
@@ -146,7 +146,8 @@ def seed_from_dumps(
         all_sources.where(
             (F.col("code") == code) & (F.col("version") == version) & F.col("deleted_at").isNull()
         )
-        .agg(F.max("id"))
+        # A deleted (code, version) is not registered again and has no id to seed under.
+        .agg(F.coalesce(F.max("id"), F.raise_error(F.lit("the location source is deleted"))))
         .scalar()
     )
     rows = G.attach_postal_codes(

@@ -4,9 +4,10 @@ One exchange, of the raw requests on ``address_id``. An address is exploded into
 carrier row that holds its text; the spans meet the (broadcast) phrases, the hits and the
 carrier come together again by address, the chosen phrases are exploded the same way into
 candidates with their chain already attached, each candidate is scored in its own row, and
-the rows are grouped by address once more. Neither grouping needs another exchange. The grouping key is unique per
-request, so copies of one text, popular names and popular sources never meet in one task;
-what one group holds is the candidate list of one address, which is its result.
+the rows are grouped by address once more. Neither grouping needs another exchange. The
+grouping key is the request (its id and a hash of its text), so copies of one text, popular
+names and popular sources never meet in one task; what one group holds is the candidate list
+of one address, which is its result. A repeated request is answered once.
 
 A lookup table above the broadcast bound is joined by shuffle instead; the phrases, the
 smallest, are measured on their own so that spans stay local for as long as possible. The
@@ -59,7 +60,8 @@ def _carrier_key() -> Column:
 
 def choose_phrases(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """M1..M4: one row per address: its text columns and ``chosen`` distinct phrases."""
-    payload = F.struct(*[c for c in texts.columns if c != "address_id"])
+    texts = texts.withColumn("copy", F.xxhash64("raw_input", "source_id", "source_code"))
+    payload = F.struct(*[c for c in texts.columns if c not in ("address_id", "copy")])
     payload_type = texts.select(payload.alias("p")).schema["p"].dataType
     carrier = F.struct(
         _carrier_key().alias("phrase"),
@@ -78,6 +80,7 @@ def choose_phrases(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
 
     rows = texts.withColumn("words", T.words_of(F.col("normalized"))).select(
         "address_id",
+        "copy",
         "source_id",
         F.inline(
             F.concat(F.array(carrier), spans(F.col("words"), gazetteer.max_words, looked_up))
@@ -89,19 +92,14 @@ def choose_phrases(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     )
     hit = F.when(F.col("start").isNotNull(), F.struct("start", "minus_end", "phrase"))
     chosen = F.array_distinct(F.transform(greedy(F.col("hits")), lambda s: s["phrase"]))
-    # Rows that share an id would be merged: that is refused, not passed over.
-    once = F.when(F.col("n") == 1, F.col("p")).otherwise(
-        F.raise_error(F.lit("address_id must be unique per request"))
-    )
+    # A repeated id with the same text is one request, with another text a request of its own.
     return (
-        hits.groupBy("address_id")
+        hits.groupBy("address_id", "copy")
         .agg(
             F.first("payload", ignorenulls=True).alias("p"),
-            F.count_if(F.col("start").isNull()).alias("n"),
             F.collect_list(hit).alias("hits"),
         )
-        .withColumn("p", once)
-        .select("address_id", "p.*", chosen.alias("chosen"))
+        .select("address_id", "copy", "p.*", chosen.alias("chosen"))
     )
 
 
@@ -116,6 +114,7 @@ def expand_candidates(chosen: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     )
     rows = chosen.select(
         "address_id",
+        "copy",
         "source_id",
         "chosen",
         T.first_postal_code(F.col("normalized")).alias("input_code"),
@@ -168,6 +167,7 @@ def score_candidates(rows: DataFrame) -> DataFrame:
     )
     return out.select(
         "address_id",
+        "copy",
         "source_id",
         "input_code",
         "payload",
@@ -216,7 +216,7 @@ def gather(scored: DataFrame) -> DataFrame:
     )
     text = F.struct("source_id", "input_code", "payload")
     return (
-        scored.groupBy("address_id")
+        scored.groupBy("address_id", "copy")
         .agg(
             F.first(F.when(F.col("payload").isNotNull(), text), ignorenulls=True).alias("t"),
             F.sort_array(
@@ -320,7 +320,8 @@ def validate(
 ) -> DataFrame:
     """One response row per accepted request.
 
-    ``requests``: address_id (unique per row), address, source_code. Requests that are
+    ``requests``: address_id, address, source_code. Copies of a request (a client's retry)
+    are answered once; one id with several texts gets an answer for each. Requests that are
     refused are left out; ``sources.requests.route`` tells why. ``partitions`` of the
     exchange default to ``spark.sql.shuffle.partitions``.
     """

@@ -13,21 +13,24 @@ _COLUMNS = (
 )
 
 
-def delimiter_of(spark: SparkSession, path: str) -> str:
-    """';' when the header line holds one, else ',' (the header only is fetched)."""
-    header = spark.read.text(path).first()
-    return ";" if header is not None and ";" in header["value"] else ","
+def header_of(spark: SparkSession, path: str) -> str:
+    """The header line: the first that is not blank."""
+    header = spark.read.text(path).where(F.trim("value") != "").first()
+    return "" if header is None else header["value"]
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """S3: quoted CSV, line breaks inside quotes, '""' escapes.
 
-    Blank lines and rows of fewer than three columns are skipped, text is trimmed,
-    missing labels are ''.
+    Blank lines and rows of fewer than three columns are skipped, text is trimmed, missing
+    labels are ''. An empty third column is kept, quoted or not. Line breaks inside quotes
+    bind each file to one task, so large label sets should come as many files.
     """
-    schema = ", ".join(f"{c} string" for c in _COLUMNS)
+    header = header_of(spark, path)
+    sep = ";" if ";" in header else ","
+    short = "_short"  # the text of a record with fewer (or more) columns than the schema
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(", ".join(f"{c} string" for c in (*_COLUMNS, short)))
         .option("header", True)
         .option("enforceSchema", True)
         .option("multiLine", True)
@@ -35,11 +38,19 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
-        .option("sep", delimiter_of(spark, path))
+        .option("columnNameOfCorruptRecord", short)
+        .option("sep", sep)
         .csv(path)
     )
-    return rows.where(F.col("raw_address").isNotNull()).select(
-        *[T.trimmed(F.col(c)).alias(c) for c in _COLUMNS[2:]]
+    # An empty cell and a missing one are both null here; the record's text tells them apart.
+    bare = F.regexp_replace(short, '"(?:[^"]|"")*+"', "")
+    separators = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit("")))
+    there = F.col("raw_address").isNotNull() | F.col(short).isNull() | (separators >= 2)
+    # Behind a line of blanks the header comes as a row.
+    names = F.from_csv(F.lit(header), ", ".join(f"{c} string" for c in _COLUMNS), {"sep": sep})
+    is_header = F.struct(*_COLUMNS).eqNullSafe(names)
+    return rows.where(there & ~is_header).select(
+        *[T.trimmed(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in _COLUMNS[2:]]
     )
 
 

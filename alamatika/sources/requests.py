@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
@@ -10,7 +10,7 @@ from alamatika.functions import text as T
 from alamatika.operators.bounded import broadcast_if_small
 from alamatika.operators.gazetteer import latest_sources
 
-REQUEST_SCHEMA = "address_id string, address string, source_code string, _corrupt_record string"
+FIELDS = ("address_id", "address", "source_code")
 MALFORMED = "invalid request body"
 UNKNOWN_SOURCE = "unknown location source"
 
@@ -20,34 +20,45 @@ def read_requests(
 ) -> DataFrame:
     """JSON lines {address, source_code, address_id}, batch or stream.
 
-    A line that is not valid JSON keeps its text in ``_corrupt_record``.
+    A line that is no request keeps its text in ``_corrupt_record``; see ``parse_requests``.
     """
     reader = spark.readStream if stream else spark.read
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return (
-        reader.schema(REQUEST_SCHEMA)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
+    return parse_requests(reader.text(path).where(F.trim("value") != ""))
 
 
 def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
-    """S4 on a column of JSON text, as message queues deliver it."""
-    parsed = F.from_json(
-        F.col(column), REQUEST_SCHEMA,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
-    )
-    rest = [c for c in lines.columns if c not in (column, "address_id")]
-    out = lines.withColumn("_r", parsed)
-    key = (
-        F.coalesce(F.col("_r.address_id"), F.col("address_id").cast("string"))
-        if "address_id" in lines.columns
-        else F.col("_r.address_id")
+    """S4 on a column of JSON text, as message queues deliver it.
+
+    A request is one object whose fields are texts or null; field names match without
+    regard to case, the exact one first. Anything else (numbers, lists, broken text) is
+    kept in ``_corrupt_record``.
+    """
+    body = F.from_json(F.col(column), "map<string,variant>", {"mode": "PERMISSIVE"})
+    rest = [c for c in lines.columns if c not in (column, *FIELDS)]
+    given = F.col("address_id").cast("string") if "address_id" in lines.columns else F.lit(None)
+    rows = lines.select(
+        *rest, F.col(column).alias("_line"), given.cast("string").alias("_given"), body.alias("_body")
     )
-    return out.select(
-        *rest, key.alias("address_id"), "_r.address", "_r.source_code", "_r._corrupt_record"
+
+    def named(field: str) -> Column:
+        """The field's value: the exact name, else the last that differs only by case."""
+        like = F.map_values(F.map_filter("_body", lambda k, _: F.lower(k) == field))
+        return F.coalesce(F.try_element_at(F.col("_body"), F.lit(field)), F.get(like, F.size(like) - 1))
+
+    rows = rows.select("*", *[named(f).alias(f"_v_{f}") for f in FIELDS])
+    good = F.col("_body").isNotNull() & F.ltrim("_line").startswith("{")
+    for f in FIELDS:
+        value = F.col(f"_v_{f}")
+        good = good & (value.isNull() | F.schema_of_variant(value).isin("STRING", "VOID"))
+    good = F.coalesce(good, F.lit(False))
+    text = {f: F.when(good, F.try_variant_get(F.col(f"_v_{f}"), "$", "string")) for f in FIELDS}
+    return rows.select(
+        *rest,
+        F.coalesce(text["address_id"], F.col("_given")).alias("address_id"),
+        text["address"].alias("address"), text["source_code"].alias("source_code"),
+        F.when(~good & F.col("_line").isNotNull(), F.col("_line")).alias("_corrupt_record"),
     )
 
 

@@ -56,26 +56,26 @@ def gazetteer(spark, **kw):
 
 # address, normalized, status, ranked (score, kode), unused, strategy
 GOLDENS = [
-    ("JL. GATOT SUBROTO NO.86 BANDUNG", "jl gatot subroto no bandung", "INCOMPLETE",
-     [(0.37, "32.73"), (0.37, "32.04")], "gatot subroto no"),
-    ("JL. Braga No.6, RT.05, RW.06, Kel. Braga, Kec. Sumur Bandung, Kota Bandung",
-     "jl braga no rt rw braga sumur bandung bandung", "AMBIGUOUS",
-     [(0.65, "32.73.19.1001"), (0.55, "32.73.19"), (0.37, "32.73"), (0.37, "32.04")], "no rt rw"),
-    ("Jl. Asia Afrika No. 16 bandung 40115", "jl asia afrika no bandung 40115", "INCOMPLETE",
-     [(0.37, "32.73"), (0.37, "32.04")], "40115 asia afrika no"),
-    ("JL. Merdeka No.56 Citarum bandung 40115", "jl merdeka no citarum bandung 40115", "VALID",
-     [(0.72, "32.73.09.1001"), (0.37, "32.73"), (0.37, "32.04")], "merdeka no"),
-    ("Jl. Merdeka No. 1 Bogor", "jl merdeka no bogor", "INCOMPLETE",
-     [(0.37, "32.01"), (0.37, "32.71")], "merdeka no"),
+    ("Gg. Kenari 12 BANDUNG", "gg kenari bandung", "INCOMPLETE",
+     [(0.37, "32.73"), (0.37, "32.04")], "kenari"),
+    ("Gg. Melati, RW.03, Kel. Braga, Kec. Sumur Bandung, Kota Bandung",
+     "gg melati rw braga sumur bandung bandung", "AMBIGUOUS",
+     [(0.65, "32.73.19.1001"), (0.55, "32.73.19"), (0.37, "32.73"), (0.37, "32.04")], "melati rw"),
+    ("Gg. Asri 5 bandung 40115", "gg asri bandung 40115", "INCOMPLETE",
+     [(0.37, "32.73"), (0.37, "32.04")], "40115 asri"),
+    ("Gg. Teratai Citarum bandung 40115", "gg teratai citarum bandung 40115", "VALID",
+     [(0.72, "32.73.09.1001"), (0.37, "32.73"), (0.37, "32.04")], "teratai"),
+    ("Gg. Dahlia Bogor", "gg dahlia bogor", "INCOMPLETE",
+     [(0.37, "32.01"), (0.37, "32.71")], "dahlia"),
     ("Ciomas, Bogor, Jawa Barat", "ciomas bogor jawa barat", "AMBIGUOUS",
      [(0.90, "32.01.29.2001"), (0.80, "32.01.29"), (0.72, "32.01"), (0.45, "32"), (0.37, "32.71")],
      ""),
     ("Gedung Sate 40115", "gedung sate 40115", "UNKNOWN", [], ""),
     ("Kepulauan Riau", "riau", "INCOMPLETE", [(0.25, "14"), (0.25, "21")], ""),
-    ("JL. Supratman No.72, Citarum, 40191", "jl supratman no citarum 40191", "VALID",
-     [(0.35, "32.73.09.1001")], "40191 supratman no"),
-    ("Jl. Merdeka No.1, Jakarta Pusat 10110", "jl merdeka no jakarta pusat 10110", "INCOMPLETE",
-     [(0.52, "31.71")], "10110 merdeka no"),
+    ("Gg. Nuri 3, Citarum, 40191", "gg nuri citarum 40191", "VALID",
+     [(0.35, "32.73.09.1001")], "40191 nuri"),
+    ("Gg. Nuri, Jakarta Pusat 10110", "gg nuri jakarta pusat 10110", "INCOMPLETE",
+     [(0.52, "31.71")], "10110 nuri"),
     ("tanpa lokasi", "tanpa lokasi", "UNKNOWN", [], ""),
     ("Jl. Citarum 40115, Bandung Wetan, Kota Bandung, Jawa Barat",
      "jl citarum bandung wetan bandung jawa barat 40115", "AMBIGUOUS",

@@ -138,3 +138,21 @@ def test_reasons_order(spark):
     assert got.reasons == ["exact_match", "match_province", "match_city", "match_district",
                            "match_subdistrict", "match_postal_code_exact"]
     assert got.confidence == 0.90
+
+
+def test_null_lists_count_as_empty(spark):
+    rows = [("a", 0, None, 2, 3, None, None, None, None, [("place_name", "w")]),
+            ("a", 1, None, 2, 3, None, None, None, [], [("place_name", "w")]),
+            ("a", 2, 1, 2, 3, None, None, None, None, None)]
+    none, empty, plain = E.evaluate(spark.createDataFrame(rows, SCHEMA), None).orderBy("cand_id").collect()
+    assert [c.type for c in none.conflicts] == ["orphan_city"]
+    assert (none.status, none.confidence, [u.value for u in none.unused]) == ("CONFLICT", 0.15, ["w"])
+    assert [none[c] for c in ("conflicts", "status", "confidence", "unused", "reasons")] == [
+        empty[c] for c in ("conflicts", "status", "confidence", "unused", "reasons")]
+    assert (plain.conflicts, plain.status, plain.unused) == ([], "VALID", [])
+
+
+def test_a_city_under_two_names_is_one_conflict(spark):
+    evidence = [ev(8, "CITY", name="Tirta"), ev(8, "CITY", name="tirta"), ev(9, "CITY", name="Nila")]
+    (got,) = evaluated(spark, [(1, 2, 0, 0, 0, None, evidence)])
+    assert [c.message.split(": ")[1] for c in got.conflicts] == ["Tirta", "Nila"]

@@ -7,15 +7,10 @@ from alamatika.functions import constants as K
 from alamatika.functions import text as T
 
 PAIRS = [
-    ("Kab. Bandung", "bandung"), ("Kota Jakarta", "jakarta"),
-    ("Kec. Cibeunying Kidul", "cibeunying kidul"), ("Kel. Sukamaju", "sukamaju"),
-    ("Prov. Jawa Barat", "jawa barat"), ("KAB. BANDUNG", "bandung"),
-    ("Kota Jakarta Barat", "jakarta barat"), ("Kab Bandung", "bandung"),
-    ("  Kota   Jakarta  ", "jakarta"), ("Ciomas, Bogor, Jawa Barat", "ciomas bogor jawa barat"),
-    ("Jakarta", "jakarta"), ("", ""), ("NO. 56", "no"), ("RT.005 RW.002", "rt rw"),
-    ("_test_", "test"), ("KAB. BANDUNG 40114", "bandung 40114"), ("40114", "40114"),
-    ("foo 1234", "foo"), ("jl_foo_123", "jlfoo"),
-    ("Ciomas,\\nBogor,\\nJawa Barat", "ciomas bogor jawa barat"),
+    ("Kel. Mawar Lor", "mawar lor"), ("kab. TIRTA", "tirta"), ("Prov. Tanah Hulu", "tanah hulu"),
+    ("  Kec \t Nila  ", "nila"), ("Nila, Tirta;Hulu", "nila tirtahulu"), ("", ""), ("NO. 7A", "no a"),
+    ("RT.1/RW.2", "rtrw"), ("__nila__", "nila"), ("Tirta 90210", "tirta 90210"), ("90210", "90210"),
+    ("gg 9021", "gg"), ("gg_nila_9", "ggnila"), ("Nila,\\nTirta", "nila tirta"),
     # further cases
     ("é40115", "40115"), ("Kota, Bandung", "kota bandung"), ("no.12345,x", "nox 12345"),
     ("40115 40116", "40115 40116"), ("a kota b", "a b"), ("kota kota kab. x", "x"),

@@ -69,10 +69,14 @@ def test_one_exchange(spark, gaz):
     assert plan.count("Exchange hashpartitioning(address_id") == 1
 
 
-def test_shared_ids_are_refused(spark, gaz):
+def test_repeated_and_shared_ids(spark, gaz):
+    """A retry is answered once; one id with several texts gets an answer for each."""
     rows = mini.requests(spark).withColumn("address_id", F.lit("same"))
-    with pytest.raises(Exception, match="address_id must be unique"):
-        V.validate(rows, gaz).collect()
+    got = V.validate(rows.unionByName(rows), gaz).collect()
+    single = {r.raw_input: r for r in V.validate(mini.requests(spark), gaz).collect()}
+    assert sorted(r.raw_input for r in got) == sorted(single)
+    for r in got:
+        assert (r.status, r.confidence, r.location) == tuple(single[r.raw_input][c] for c in ("status", "confidence", "location"))
 
 
 def test_unknown_source_and_rejects(spark, gaz):
