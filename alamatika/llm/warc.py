@@ -41,6 +41,7 @@ from alamatika.plans.gazetteer import new_folder, written
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20  # an archive is closed beyond this size
 RANGE_BYTES = 4 << 20  # neighbouring records are read together up to this size
+RANGES_PER_TASK = 32
 TAIL_BYTES = 1 << 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 # Fixed values of the ZIP format: signatures, and fields that hand over to ZIP64.
@@ -356,5 +357,13 @@ def archive_round_trip(spark: SparkSession, log: DataFrame, with_payload: bool =
     """Write archives of a log to the shared folder and read every record back by range."""
     folder = new_folder(spark)
     manifest = written(write_archives(log, folder), "manifest")
-    located = written(locate_records(manifest.repartition("path")), "ranges")
-    return read_records(located.repartition("path", "start"), with_payload)
+    located = written(locate_records(_dealt(manifest, "path")), "ranges")
+    return read_records(_dealt(located, "path", "start"), with_payload)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that name much more data than they hold, dealt out by number: adaptive execution
+    would gather them in one task by their own size.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, rows.count() // RANGES_PER_TASK + 1), *keys)
