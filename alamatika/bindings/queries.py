@@ -23,7 +23,7 @@ from alamatika.operators import matching as M
 from alamatika.operators import resolution as R
 from alamatika.plans import accuracy as PA
 from alamatika.plans import validate as V
-from alamatika.plans.gazetteer import new_folder, written
+from alamatika.plans.gazetteer import new_folder, save_regions, seed_from_dumps, written
 from alamatika.sources import dumps, labelled, regions as S
 from alamatika.sources import requests as Q
 from alamatika.sources.request_log import append_log, log_rows
@@ -249,6 +249,44 @@ def source_latest(spark, d):
     return G.latest_sources(_part_sources(spark, d))
 
 
+@query("seed_job", O.sql(
+    "SELECT CASE source_id WHEN 1 THEN 'kemendagri' ELSE 'bps' END AS source_code, kode, name, norm_name, "
+    "CAST(level_id AS INTEGER) AS level_id, coalesce(postal_code, '') AS postal_code FROM regions"))
+def seed_job(spark, d):
+    """Both sources seeded from dump files of several parts, saved and read back (S1, S2, G1..G3)."""
+    def line(value: Column) -> Column:
+        quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.concat(F.lit("INSERT INTO t VALUES ('"), F.col("kode"), F.lit("', "), quoted, F.lit(");"))
+
+    regions = B.regions(spark, d)
+    sources = B.sources(spark).where(F.lit(False)).withColumns(
+        {c: F.lit("") for c in ("name", "code_date", "desc")})
+    kept = regions.where(F.lit(False))
+    path = new_folder(spark)
+    for source_id, code in ((1, "kemendagri"), (2, "bps")):
+        rows = regions.where(F.col("source_id") == source_id).repartition(3, "kode")
+        names, codes = new_folder(spark), new_folder(spark)
+        rows.select(line(F.col("name")).alias("value")).write.text(names)
+        rows.select(line(F.coalesce("postal_code", F.lit(""))).alias("value")).write.text(codes)
+        sources, fresh = seed_from_dumps(names, codes, sources, kept, code=code, version="1", name=code)
+        save_regions(fresh, path)
+        kept = spark.read.schema(fresh.schema).parquet(path)
+    named = sources.select(F.col("id").alias("source_id"), F.col("code").alias("source_code"))
+    return kept.join(named, "source_id").select(
+        "source_code", "kode", "name", "norm_name", "level_id",
+        F.coalesce("postal_code", F.lit("")).alias("postal_code"))
+
+
+@query("reload_source", O.sql(
+    "SELECT source_id, kode FROM all_regions WHERE source_id = 1 OR level_id = 2"))
+def reload_source(spark, d):
+    """One source replaced by its provinces, the other left alone."""
+    regions, path = B.regions(spark, d), new_folder(spark)
+    save_regions(regions, path)
+    save_regions(regions.where("source_id = 2 AND level_id = 2"), path, mode="overwrite")
+    return spark.read.schema(regions.schema).parquet(path).select("source_id", "kode")
+
+
 @query("register_sources", O.sql(
     "SELECT code, version, count(*) AS n_rows FROM (SELECT code, version FROM src WHERE version <> 'ECONOMY' UNION ALL "
     "SELECT DISTINCT code, version FROM src a WHERE NOT EXISTS (SELECT 1 FROM src b WHERE b.version <> 'ECONOMY' "
@@ -855,6 +893,19 @@ def request_log(spark, d):
         "created_at")
 
 
+@query("validate_repeats", O.sql(
+    "SELECT address_id, normalized_input, confidence FROM answers UNION ALL "
+    "SELECT a.address_id, 'tirta', CAST(0 AS DOUBLE) FROM answers a JOIN routed r ON r.address_id = a.address_id "
+    "WHERE CAST(a.address_id AS BIGINT) % 3 = 0"))
+def validate_repeats(spark, d):
+    """Every request twice, and every third id once more with another text."""
+    rows = B.requests(spark, d)
+    other = rows.where((F.col("address_id").cast("long") % 3 == 0) & (F.col("address") != "")).withColumn(
+        "address", F.lit("Tirta"))
+    done = V.validate(rows.unionByName(rows).unionByName(other), B.gazetteer(spark, d))
+    return done.select("address_id", "normalized_input", "confidence")
+
+
 # --- files and streams -----------------------------------------------------------------
 # Derived rows are written to the shared folder in the format under test and read back.
 

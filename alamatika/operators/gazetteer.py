@@ -128,10 +128,20 @@ def _parents(regions: DataFrame, level: str) -> DataFrame:
 
 
 def _with_parents(regions: DataFrame) -> DataFrame:
-    rows = _leaves(regions)
-    for level in ("province", "city", "district"):
-        rows = rows.join(_parents(regions, level), ["source_id", f"{level}_kode"], "left")
-    return rows
+    """Leaves with the ids of their parents, null where a parent is missing.
+
+    The chain above is looked up once per district code, which is few rows; the leaves then
+    meet it on the district code, a key of many values.
+    """
+    leaves = _leaves(regions)
+    levels = ("province", "city", "district")
+    chain = leaves.select("source_id", *[f"{level}_kode" for level in levels]).distinct()
+    for level in levels:
+        chain = chain.join(_parents(regions, level), ["source_id", f"{level}_kode"], "left")
+    return leaves.join(
+        chain.select("source_id", "district_kode", *[f"{level}_id" for level in levels]),
+        ["source_id", "district_kode"], "left",
+    )
 
 
 def flatten_hierarchy(regions: DataFrame) -> DataFrame:
@@ -275,26 +285,28 @@ def reverse_postal(regions: DataFrame) -> DataFrame:
     """
     rows = active(regions)
     parts = F.size(F.split("kode", r"\."))
+    upper = F.when(parts.isin(2, 3, 4), F.regexp_extract("kode", r"^(.*)\.", 1))
     coded = rows.where(F.coalesce("postal_code", F.lit("")) != "").select(
-        "source_id",
-        "postal_code",
-        "kode",
-        F.col("name").alias("sub_district"),
-        F.when(parts == 4, _prefix(3)).alias("_district"),
-        F.when(parts.isin(3, 4), _prefix(2)).alias("_city"),
-        F.when(parts.isin(2, 3, 4), _prefix(1)).alias("_province"),
+        "source_id", "postal_code", "kode", F.col("name").alias("sub_district"), upper.alias("_upper")
+    )
+    # Names above are looked up once per code above; only codes of at most three parts occur.
+    depth = F.size(F.split("_upper", r"\."))
+    chain = coded.where(F.col("_upper").isNotNull()).select("source_id", "_upper").distinct().select(
+        "*",
+        F.when(depth == 3, F.col("_upper")).alias("_district"),
+        F.when(depth >= 2, F.substring_index("_upper", ".", 2)).alias("_city"),
+        F.substring_index("_upper", ".", 1).alias("_province"),
     )
-    # Only codes of at most three parts can be an ancestor.
     parents = rows.where(parts <= 3)
-    for level in ("district", "city", "province"):
+    levels = ("district", "city", "province")
+    for level in levels:
         names = parents.select(
             "source_id", F.col("kode").alias(f"_{level}"), F.col("name").alias(level)
         )
-        coded = (
-            coded.join(names, ["source_id", f"_{level}"], "left")
-            .withColumn(level, F.coalesce(level, F.lit("")))
-            .drop(f"_{level}")
-        )
+        chain = chain.join(names, ["source_id", f"_{level}"], "left")
+    coded = coded.join(
+        chain.select("source_id", "_upper", *levels), ["source_id", "_upper"], "left"
+    ).fillna("", levels)
     return coded.select(
         "source_id", "postal_code", "kode", "sub_district", "district", "city", "province"
     )

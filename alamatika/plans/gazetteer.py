@@ -141,7 +141,8 @@ def seed_from_dumps(
         F.lit(code_date).alias("code_date"),
         F.lit(desc).alias("desc"),
     )
-    all_sources = G.register_sources(sources, new)
+    # Written once: ids handed out anew by each evaluation could differ from the rows' own.
+    all_sources = written(G.register_sources(sources, new), "sources")
     source_id = (
         all_sources.where(
             (F.col("code") == code) & (F.col("version") == version) & F.col("deleted_at").isNull()

@@ -22,6 +22,7 @@ from alamatika.plans.gazetteer import Gazetteer  # noqa: E402
 HEADLINE = (
     "validate", "accuracy_flags", "normalize_text", "sanitize_html", "evidence",
     "phrase_greedy", "conflicts", "confidence", "hierarchy_flatten", "postal_infer",
+    "rank", "evaluate_candidates", "conclude", "resolve_evidence", "lexicon",
 )
 
 
@@ -35,7 +36,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
