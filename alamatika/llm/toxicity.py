@@ -56,16 +56,15 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def _word_sets(requests: DataFrame, vocabulary: frozenset[str] | None = None) -> DataFrame:
-    """(address_id, words): distinct words of each text, or those of a vocabulary."""
+def _word_sets(requests: DataFrame) -> DataFrame:
+    """(address_id, words): distinct words of each text."""
     id_type = requests.schema["address_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            words = (words_of(t.as_py()) for t in part.column("raw_input"))
-            kept = [sorted(w if vocabulary is None else w & vocabulary) for w in words]
+            words = [sorted(words_of(t.as_py())) for t in part.column("raw_input")]
             yield pa.RecordBatch.from_arrays(
-                [part.column("address_id"), pa.array(kept, pa.list_(pa.string()))],
+                [part.column("address_id"), pa.array(words, pa.list_(pa.string()))],
                 ["address_id", "words"],
             )
 
@@ -74,6 +73,24 @@ def _word_sets(requests: DataFrame, vocabulary: frozenset[str] | None = None) ->
     )
 
 
+def _numbered(sets: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]:
+    """(positive, numbers of the named words that occur) of each row."""
+    number = {w: k for k, w in enumerate(names)}
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [
+                np.array([number[w] for w in words if w in number], dtype="<i4").tobytes()
+                for words in part.column("words").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("positive"), pa.array(found, pa.binary())], ["positive", "found"]
+            )
+
+    rows = sets.mapInArrow(run, "positive int, found binary").toLocalIterator()
+    return [(r["positive"], np.frombuffer(r["found"], "<i4")) for r in rows]
+
+
 def _bounded(rows: DataFrame) -> DataFrame:
     """At most ``MAX_TRAINING`` rows, the first by a hash of their id."""
     return rows.orderBy(F.xxhash64("address_id"), "address_id").limit(MAX_TRAINING)
@@ -114,33 +131,39 @@ def _train(sets: DataFrame) -> Model:
         "word", (F.col("pos") * F.log(rate / base)).alias("gain"), F.log(rate / base).alias("lift")
     ).where("lift > 0").orderBy(F.desc("gain"), "word").limit(MAX_FEATURES)
     names = [r["word"] for r in chosen.collect()]
-    number = {w: k for k, w in enumerate(names)}
-    kept = sets.select(
-        "positive",
-        F.array_intersect("words", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("words"),
-    ).toPandas()
-    matrix = np.zeros((len(kept), len(names)), dtype=np.float32)
-    for row, words in enumerate(kept["words"]):
-        matrix[row, [number[w] for w in words]] = 1
-    positive = kept["positive"].to_numpy() == 1
+    rows = _numbered(sets, names)
+    rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # one order, however Spark dealt the rows
     # All rows are the unlabelled sample: the positives among them are what p corrects.
-    weights, bias = fit(matrix[positive], matrix, prior)
+    weights, bias = fit([x for p, x in rows if p], [x for _, x in rows], len(names), prior)
     # Scores are for equal classes: the prior is taken out of the bias again.
     bias -= np.log(prior / (1 - prior)) if prior < 1 else 0.0
     return Model({w: float(x) for w, x in zip(names, weights) if x}, float(bias))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias that lower the non-negative risk, by Adam over whole batches."""
-    theta = np.zeros(positive.shape[1] + 1)
+def fit(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float
+) -> tuple[np.ndarray, float]:
+    """Weights and bias that lower the non-negative risk, by Adam over whole batches.
+
+    Rows are arrays of the features they have; ``width`` is the number of features.
+    """
+    theta = np.zeros(width + 1)
     theta[-1] = np.log(prior / (1 - prior)) if prior < 1 else 5.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
 
-    def part(x: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
+    def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64), owner, len(rows)
+
+    positive, unlabelled = sparse(positive), sparse(unlabelled)
+
+    def part(rows: tuple[np.ndarray, np.ndarray, int], sign: float) -> tuple[float, np.ndarray]:
         """Mean loss for a wanted sign, and its gradient."""
-        z = sign * (x @ theta[:-1].astype(np.float32) + theta[-1])
+        features, owner, n = rows
+        z = sign * (np.bincount(owner, theta[features], minlength=n) + theta[-1])
         slope = -sign / (1 + np.exp(np.clip(z, -60, 60)))
-        return float(np.logaddexp(0, -z).mean()), np.append(slope.astype(np.float32) @ x, slope.sum()) / len(x)
+        down = np.bincount(features, slope[owner], minlength=width)
+        return float(np.logaddexp(0, -z).mean()), np.append(down, slope.sum()) / n
 
     for step in range(1, STEPS + 1):
         _, up = part(positive, 1.0)

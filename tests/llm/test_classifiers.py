@@ -51,6 +51,7 @@ def test_reversed_gradient_keeps_the_risk_above_zero():
     rng = np.random.default_rng(0)
     positive = (rng.random((40, 6)) < [0.9, 0.8, 0.5, 0.5, 0.1, 0.1]).astype(np.float32)
     unlabelled = (rng.random((400, 6)) < [0.1, 0.1, 0.5, 0.5, 0.5, 0.5]).astype(np.float32)
-    weights, bias = toxicity.fit(positive, np.concatenate([positive, unlabelled]), 0.5)
+    rows = [np.flatnonzero(x) for x in np.concatenate([positive, unlabelled])]
+    weights, bias = toxicity.fit(rows[:40], rows, 6, 0.5)
     assert np.isfinite(weights).all() and weights[0] > 0 > weights[4]
     assert (positive @ weights).mean() > (unlabelled @ weights).mean()
