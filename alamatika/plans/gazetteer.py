@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", None) or ""):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
@@ -100,8 +101,10 @@ class Gazetteer:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/alamatika-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below the one of this application: what an
+    application leaves there can be deleted as a whole when it has ended.
+    """
+    return f"{shared_folder(spark)}/alamatika-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 class _Writer:

@@ -100,3 +100,17 @@ def test_first_code_and_format_and_same(spark):
         T.same_text(F.lit(None).cast("string"), F.lit("")).alias("eq2"),
     ).first()
     assert (r.x, r.f, r.eq, r.eq2) == ("40115", "B, D 1", True, True)
+
+
+def test_normalize_equals_its_steps(spark):
+    """T9 fuses T5 and T7; taken one by one they give the same text."""
+    def by_steps(c):
+        folded = T.fold_words(T.unescape_newlines(c))
+        kept = T.squeeze(T.letters_only(T.squeeze(T.drop_admin_tokens(folded))))
+        return F.trim(F.concat_ws(" ", kept, F.array_join(T.postal_codes(folded), " ")))
+
+    texts = [a for a, _ in PAIRS] + ["Kota kota Nila kab. 90210 90211", "kec.kec kec", "A\\nkota\\nB 12345 x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select(
+        "a", T.normalize(F.col("a")).alias("n"), by_steps(F.col("a")).alias("m"))
+    for r in rows.collect():
+        assert r.n == r.m, r.a
