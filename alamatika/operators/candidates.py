@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions.scoring import filled_levels
-from alamatika.operators.bounded import broadcast_if_small
 from alamatika.sources.regions import active
 
 SLOTS = ("province_id", "city_id", "district_id", "subdistrict_id")
@@ -120,7 +119,7 @@ def enrich(
             F.col(child).alias("_child"), F.col(parent).alias("_up")
         ).join(exists, "_up", "left_semi")
         out = (
-            out.join(broadcast_if_small(step), F.col(child) == F.col("_child"), "left")
+            out.join(step, F.col(child) == F.col("_child"), "left")
             .withColumn(parent, F.coalesce(parent, "_up"))
             .drop("_child", "_up")
         )

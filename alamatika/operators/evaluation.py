@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions import scoring as S
-from alamatika.operators.bounded import broadcast_if_small
 from alamatika.operators.candidates import SLOT_OF, SLOTS
 
 
@@ -28,7 +27,8 @@ def _slots() -> list[Column]:
 def hierarchy_conflict(candidates: DataFrame, parents: dict[str, DataFrame] | None) -> DataFrame:
     """Adds ``hierarchy_conflict``: message of the first broken link, or null.
 
-    A child that is not in the parent map is a broken link; empty slots are skipped.
+    A child that is not in the parent map is a broken link; empty slots are skipped. The maps
+    carry no hint: Spark broadcasts those that their files show to be small.
     Without parent maps nothing is checked.
     """
     if parents is None:
@@ -44,7 +44,7 @@ def hierarchy_conflict(candidates: DataFrame, parents: dict[str, DataFrame] | No
             F.col(child).alias(f"_{child}"), F.col(parent).alias(f"_up_{child}")
         )
         out = out.join(
-            broadcast_if_small(lookup), F.col(child) == F.col(f"_{child}"), "left"
+            lookup, F.col(child) == F.col(f"_{child}"), "left"
         ).drop(f"_{child}")
         wrong = (
             F.col(child).isNotNull()

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions import text as T
-from alamatika.operators.bounded import broadcast_if_small
 
 SPANS_TYPE = "array<struct<start:int,end:int,phrase:string>>"
 
@@ -76,7 +75,7 @@ def ngrams(addresses: DataFrame, max_words: int) -> DataFrame:
 def phrase_hits(grams: DataFrame, phrases: DataFrame) -> DataFrame:
     """M2: spans that are a name of the same source."""
     keys = phrases.select("source_id", "phrase").distinct()
-    return grams.join(broadcast_if_small(keys), ["source_id", "phrase"], "left_semi")
+    return grams.join(keys, ["source_id", "phrase"], "left_semi")
 
 
 def longest_hits(hits: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def word_entities(selected: DataFrame, phrases: DataFrame) -> DataFrame:
     per_word = selected.select(
         "address_id", "source_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")
     ).distinct()
-    return per_word.join(broadcast_if_small(phrases), ["source_id", "phrase"]).select(
+    return per_word.join(phrases, ["source_id", "phrase"]).select(
         "address_id", "source_id", "word", "phrase", "entity_id", "level", "kode", "name",
         "postal_code",
     )
@@ -134,7 +133,7 @@ def _postal_lookup(evidence_: DataFrame, phrases: DataFrame, how: str) -> DataFr
         (F.col("level") == K.SUBDISTRICT) & (F.col("postal_code") != "")
     ).select("source_id", F.col("postal_code").alias("value"), *_ENTITY)
     return evidence_.where(F.col("type") == K.POSTAL_CODE).join(
-        broadcast_if_small(codes), ["source_id", "value"], how
+        codes, ["source_id", "value"], how
     ).select(*evidence_.columns, *_ENTITY)
 
 
