@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alamatika.operators import accuracy as A
-from alamatika.plans.gazetteer import Gazetteer
+from alamatika.plans.gazetteer import Gazetteer, written
 from alamatika.plans.validate import validate
 from alamatika.sources import labelled
 from alamatika.sources.requests import with_address_ids
 
 
 def replay(labels: DataFrame, gazetteer: Gazetteer, source_code: str = "") -> DataFrame:
-    """B1 + B2 for every label. Labels without an address_id get one per row."""
+    """B1 + B2 for every label. Labels without an address_id get one per row and are written
+    once, as both sides of the comparison must see the same ids.
+    """
     if "address_id" not in labels.columns:
-        labels = with_address_ids(labels)
+        labels = written(with_address_ids(labels), "labels")
     code = F.col("source_code") if "source_code" in labels.columns else F.lit(source_code)
     requests = labels.select(
         "address_id", labelled.replay_text().alias("address"), code.alias("source_code")
