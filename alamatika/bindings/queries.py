@@ -155,8 +155,7 @@ def format_address(spark, d):
 # --- gazetteer -----------------------------------------------------------------------
 
 _DUMP = {
-    "dump_names": f"""SELECT kode, replace(name, 'Kel. ', 'Kel. Ma''') AS name, level_id, postal_code FROM all_regions
-      WHERE source_id = 1"""
+    "dump_names": f"""SELECT kode, replace(name, 'Kel. ', 'Kel. Ma''') AS name, level_id, postal_code FROM all_regions"""
 }
 
 
@@ -187,8 +186,7 @@ def _dump_lines(spark, d, column: str) -> DataFrame:
 
     name = F.replace("name", F.lit("Kel. "), F.lit("Kel. Ma'"))
     value = name if column == "name" else F.coalesce("postal_code", F.lit(""))
-    rows = B.regions(spark, d).where(F.col("source_id") == 1)
-    return rows.select(
+    return B.regions(spark, d).select(
         F.col("id").alias("line_pos"),
         F.concat(F.lit("INSERT INTO t VALUES ("), quoted(F.col("kode")), F.lit(", "), quoted(value),
                  F.lit("),('99','second tuple');")).alias("value"))
@@ -210,20 +208,23 @@ def region_levels(spark, d):
 
 
 @query("level_dimension", O.sql(
-    "SELECT level_id, CASE level_id WHEN 2 THEN 'province' WHEN 3 THEN 'city' WHEN 4 THEN 'district' "
-    "ELSE 'subdistrict' END AS level_name, count(*) AS n FROM all_regions GROUP BY ALL"))
+    "SELECT CAST(l.level_id AS INTEGER) AS level_id, level_name, count(a.id) AS n FROM (VALUES (1, 'country'), (2, 'province'), "
+    "(3, 'city'), (4, 'district'), (5, 'subdistrict')) AS l(level_id, level_name) "
+    "LEFT JOIN all_regions a ON a.level_id = l.level_id GROUP BY ALL"))
 def level_dimension(spark, d):
     levels = G.level_dimension(spark).select(
         F.col("id").alias("level_id"), F.col("name").alias("level_name"))
     counts = B.regions(spark, d).groupBy("level_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(levels, "level_id").select("level_id", "level_name", "n")
+    return levels.join(counts, "level_id", "left").select(
+        F.col("level_id").cast("int").alias("level_id"), "level_name",
+        F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("postal_left_join", O.sql(
     f"SELECT a.kode, a.name, {O.postal('c.c_custkey', '3000')} AS postal_code "
-    "FROM all_regions a LEFT JOIN customer c ON a.level_id = 5 AND a.id = c.c_custkey + 1000000 WHERE a.source_id = 1"))
+    "FROM all_regions a LEFT JOIN customer c ON a.level_id = 5 AND a.id = c.c_custkey + 1000000"))
 def postal_left_join(spark, d):
-    r = B.regions(spark, d).where(F.col("source_id") == 1)
+    r = B.regions(spark, d)
     codes = r.where(F.col("level_id") == 5).select("kode", "postal_code")
     return G.attach_postal_codes(r, codes).select("kode", "name", "postal_code")
 
