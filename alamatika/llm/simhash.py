@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alamatika.llm.batches import text_slices
 from alamatika.operators.bounded import broadcast_if_small
 from alamatika.plans.gazetteer import written
 
@@ -87,7 +88,7 @@ def fingerprint_requests(requests: DataFrame) -> DataFrame:
     id_type = requests.schema["address_id"].dataType.simpleString()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             found = [
                 np.array(shingle_hashes(text.as_py()), dtype=np.uint64)
                 for text in part.column("raw_input")

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alamatika.llm.batches import text_slices
+
 MAX_TRAINING = 10_000  # rows of each kind a model is trained on, chosen by a hash of the id
 MAX_FEATURES = 2_000
 MIN_TEXTS = 3  # positives that must hold a word
@@ -61,7 +63,7 @@ def _word_sets(requests: DataFrame) -> DataFrame:
     id_type = requests.schema["address_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in text_slices(parts, 1):
             words = [sorted(words_of(t.as_py())) for t in part.column("raw_input")]
             yield pa.RecordBatch.from_arrays(
                 [part.column("address_id"), pa.array(words, pa.list_(pa.string()))],
