@@ -91,6 +91,13 @@ class Model:
         self.special = np.isin(self.kinds, (UNKNOWN, CONTROL, BYTE))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
         self.kind = train.get(3, UNIGRAM)
+        self.apart: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Drop what was remembered from batch to batch."""
+        self.apart.clear()
+        self.known.clear()
 
 
 class Encoder(Model):
@@ -119,8 +126,6 @@ class Encoder(Model):
         self.widths = np.array([len(p) for p in usable], dtype=np.int64)
         self.edge_ids = np.array([self.ids[p] for p in usable], dtype=np.int64)
         self.score_of = np.array(self.scores)
-        self.apart: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         if self.trim:
@@ -385,8 +390,11 @@ def _mapped(df: DataFrame, vocabulary: str, kind: type[Model], schema: str, chan
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(kind, data.value)
-        for part in parts:
-            yield from change(part, model)
+        try:
+            for part in parts:
+                yield from change(part, model)
+        finally:
+            model.forget()  # workers outlive their task and may wait beside others
 
     id_type = df.schema["address_id"].dataType.simpleString()
     return df.mapInArrow(run, f"address_id {id_type}, {schema}")
