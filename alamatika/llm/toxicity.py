@@ -1,21 +1,24 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic requests are the positives; every other training text, whatever its label,
-is unlabelled. The risk of a linear classifier g with class prior p is
+Confirmed toxic requests are the positives. The unlabelled texts are a sample of all requests,
+drawn by a hash of the id, with or without a label row: no label is looked at, so it holds
+toxic texts at their own rate. The risk of a linear classifier g with class prior p is
 
     R = p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)])
 
 with the logistic loss l: the mean over unlabelled texts, corrected by what the positives
 among them add. Where the corrected part falls below zero its gradient is reversed, so the
-model cannot pay for a good fit with a negative risk.
+model cannot pay for a good fit with a negative risk. The prior is the share of toxic among the
+ids with a known label, taken as that of all requests; labels that were not dealt out evenly
+need a ``prior`` of their own, and where no label is 0 it is ``PRIOR``.
 
 Features are words that occur in a text at all (lower-case, whole texts), chosen by Spark
-from document counts of the labelled rows: those that positives hold more often than
+from document counts of the training rows: those that positives hold more often than
 unlabelled texts, by a signed deviance. A numpy model is trained on the driver from at most
 ``MAX_TRAINING`` rows of each kind, already reduced to their features.
 
 Cases: a null or blank text has no word and gets the score of the bias alone; null labels
-count as unlabelled; labels are matched by id, repeated label rows count as toxic if one
+are no labels; rows without an id are not learnt from; labels are matched by id, repeated label rows count as toxic if one
 is; without any positive every score is 0; repeated rows are scored one by one; an empty
 table stays empty; further columns are ignored.
 """
@@ -35,6 +38,7 @@ from alamatika.llm.batches import text_slices
 
 MAX_TRAINING = 10_000  # rows of each kind a model is trained on, chosen by a hash of the id
 MAX_FEATURES = 2_000
+PRIOR = 0.1  # share of toxic requests where labels cannot tell it
 MIN_TEXTS = 3  # positives that must hold a word
 STEPS = 400
 RATE = 0.3
@@ -98,48 +102,51 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.xxhash64("address_id"), "address_id").limit(MAX_TRAINING)
 
 
-def train(requests: DataFrame, labels: DataFrame) -> Model:
+def class_prior(labels: DataFrame) -> float:
+    """Share of toxic among the ids with a known label; ``PRIOR`` if none is known to be not."""
+    known = labels.where("toxic IS NOT NULL").groupBy("address_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    share = known.agg(F.avg("toxic")).first()[0]
+    return share if share is not None and share < 1 else PRIOR
+
+
+def train(requests: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
     """Model from requests (address_id, raw_input) and labels (address_id, toxic).
 
-    The training set is bounded: up to ``MAX_TRAINING`` labelled-toxic rows and as many
-    others that have a label row (their label is not looked at).
+    The training set is bounded: up to ``MAX_TRAINING`` labelled-toxic ids, and as many of all
+    ids as the unlabelled sample, confirmed ones at the rate at which they come.
     """
-    marked = labels.groupBy("address_id").agg(
-        F.coalesce(F.max(F.col("toxic").cast("int")), F.lit(0)).alias("positive")
+    positive = labels.where(F.col("toxic").cast("int") == 1).select("address_id").distinct()
+    ids = requests.where("address_id IS NOT NULL").select("address_id").distinct()
+    chosen = _bounded(positive).withColumn("positive", F.lit(1)).unionByName(
+        _bounded(ids).withColumn("positive", F.lit(0))
     )
-    chosen = _bounded(marked.where("positive = 1")).unionByName(_bounded(marked.where("positive = 0")))
     # The chosen ids are bounded, so texts need not be shuffled to meet them.
     rows = requests.select("address_id", "raw_input").join(F.broadcast(chosen), "address_id")
     sets = _word_sets(rows.select(F.struct("address_id", "positive").alias("address_id"), "raw_input"))
     sets = sets.select("address_id.positive", "words").persist()
     try:
-        return _train(sets)
+        return _train(sets, class_prior(labels) if prior is None else prior)
     finally:
         sets.unpersist()
 
 
-def _train(sets: DataFrame) -> Model:
+def _train(sets: DataFrame, prior: float) -> Model:
     totals = {r["positive"]: r["n"] for r in sets.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = totals.get(1, 0), totals.get(0, 0)
     if not n_pos:
         return Model({}, -np.inf)
-    # Unlabelled rows of this set hold no confirmed positive; the prior is that of all rows.
-    prior = n_pos / (n_pos + n_unl)
     counts = sets.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum("positive").alias("pos"), F.count("*").alias("n")
+        F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("n")
     ).where(F.col("pos") >= min(MIN_TEXTS, n_pos))
     rate = (F.col("pos") + 0.5) / F.lit(n_pos + 1.0)
-    base = (F.col("n") + 0.5) / F.lit(n_pos + n_unl + 1.0)
+    base = (F.col("n") + 0.5) / F.lit(n_unl + 1.0)
     chosen = counts.select(
         "word", (F.col("pos") * F.log(rate / base)).alias("gain"), F.log(rate / base).alias("lift")
     ).where("lift > 0").orderBy(F.desc("gain"), "word").limit(MAX_FEATURES)
     names = [r["word"] for r in chosen.collect()]
     rows = _numbered(sets, names)
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # one order, however Spark dealt the rows
-    # All rows are the unlabelled sample: the positives among them are what p corrects.
-    weights, bias = fit([x for p, x in rows if p], [x for _, x in rows], len(names), prior)
-    # Scores are for equal classes: the prior is taken out of the bias again.
-    bias -= np.log(prior / (1 - prior)) if prior < 1 else 0.0
+    weights, bias = fit([x for p, x in rows if p], [x for p, x in rows if not p], len(names), prior)
     return Model({w: float(x) for w, x in zip(names, weights) if x}, float(bias))
 
 

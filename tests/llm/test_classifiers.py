@@ -55,3 +55,14 @@ def test_reversed_gradient_keeps_the_risk_above_zero():
     weights, bias = toxicity.fit(rows[:40], rows, 6, 0.5)
     assert np.isfinite(weights).all() and weights[0] > 0 > weights[4]
     assert (positive @ weights).mean() > (unlabelled @ weights).mean()
+
+
+def test_unlabelled_texts_are_learnt_from(spark):
+    """Words of toxic and of unlabelled texts alike, which no labelled negative holds."""
+    texts = [(k, "rumah besar baru buruk" if k % 10 == 0 else "baik sekali" if k < 200 else f"rumah besar baru {k}") for k in range(2000)]
+    df = spark.createDataFrame(texts + [(None, "rumah")], "address_id long, raw_input string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(200)] + [(300, None)], "address_id long, toxic int")
+    model = toxicity.train(df, labels)
+    assert model.score("rumah besar baru 1") < 0.5 < toxicity.TOXIC_FROM <= model.score("rumah besar baru buruk")
+    assert toxicity.class_prior(labels) == 0.1
+    assert toxicity.class_prior(labels.where("toxic = 1")) == toxicity.PRIOR
