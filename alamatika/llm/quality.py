@@ -1,9 +1,10 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
 Words and runs of signs, in their own case, are hashed one by one and in pairs into
-``BUCKETS`` buckets. The model learns by FTRL-proximal updates, one text at a time, on the
-driver, from at most ``MAX_TRAINING`` labelled rows (as arrays of bucket numbers); a text's
-score is the sparse dot product of its bucket shares with the weights.
+``BUCKETS`` buckets. The model learns by FTRL-proximal updates, one whole text at a time, on
+the driver, from at most ``MAX_TRAINING`` labelled rows (as arrays of bucket numbers in a
+temporary file, read again in every epoch); a text's score is the sparse dot product of its
+bucket shares with the weights.
 
 Cases: a null or blank text has no n-gram and gets the score of the bias alone; null
 labels are left out; repeated label rows count once, as the greater; without labels every
@@ -14,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 MAX_TRAINING = 8_000  # labelled rows, chosen by a hash of the id
-MAX_NGRAMS = 4_000  # distinct buckets of one training text; the most frequent are kept
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-3, 1e-3
 GOOD_FROM = 0.3
@@ -69,9 +70,6 @@ def train(requests: DataFrame, labels: DataFrame) -> Model:
         for part in parts:
             for good, text in zip(part.column("good").to_pylist(), part.column("raw_input")):
                 buckets, weights = shares(text.as_py())
-                if len(buckets) > MAX_NGRAMS:
-                    top = np.sort(np.argsort(-weights, kind="stable")[:MAX_NGRAMS])
-                    buckets, weights = buckets[top], weights[top]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([good], pa.int32()),
@@ -83,16 +81,23 @@ def train(requests: DataFrame, labels: DataFrame) -> Model:
 
     shaped = rows.mapInArrow(run, "good int, buckets binary, weights binary")
     learner = Ftrl()
-    held = [
-        (r["good"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], "<f4"))
-        for r in shaped.toLocalIterator()
-    ]
-    held.sort(key=lambda x: (crc32(x[1].tobytes()), x[0]))  # one order, however Spark dealt the rows
-    of_kind = np.bincount([x[0] for x in held], minlength=2)
-    cost = len(held) / (2 * np.maximum(of_kind, 1))  # both kinds weigh the same in all
-    for _ in range(EPOCHS):
-        for good, buckets, weights in held:
-            learner.learn(good, buckets, weights, cost[good])
+    # Long texts have many buckets: memory holds their places in a file, and one text at a time.
+    with tempfile.TemporaryFile() as file:
+        held = []
+        for r in shaped.toLocalIterator():
+            order = (crc32(r["buckets"]), r["good"], crc32(r["weights"]))
+            held.append((*order, file.tell(), len(r["buckets"])))
+            file.write(r["buckets"])
+            file.write(r["weights"])
+        held.sort()  # one order, however Spark dealt the rows
+        of_kind = np.bincount([x[1] for x in held], minlength=2)
+        cost = len(held) / (2 * np.maximum(of_kind, 1))  # both kinds weigh the same in all
+        for _ in range(EPOCHS):
+            for _, good, _, at, size in held:
+                file.seek(at)
+                buckets = np.frombuffer(file.read(size), "<i4")
+                weights = np.frombuffer(file.read(size), "<f4")
+                learner.learn(good, buckets, weights, cost[good])
     return learner.model()
 
 

@@ -66,3 +66,11 @@ def test_unlabelled_texts_are_learnt_from(spark):
     assert model.score("rumah besar baru 1") < 0.5 < toxicity.TOXIC_FROM <= model.score("rumah besar baru buruk")
     assert toxicity.class_prior(labels) == 0.1
     assert toxicity.class_prior(labels.where("toxic = 1")) == toxicity.PRIOR
+
+
+def test_long_training_texts_are_learnt_whole(spark):
+    texts = [(k, " ".join(f"w{k}x{j}" for j in range(9000))) for k in range(2)]
+    df = spark.createDataFrame(texts, "address_id long, raw_input string")
+    model = quality.train(df, spark.createDataFrame([(0, 0), (1, 1)], "address_id long, quality int"))
+    for _, text in texts:
+        assert (model.weights[quality.shares(text)[0]] != 0).mean() > 0.9  # few share a bucket
