@@ -23,6 +23,7 @@ empty tables are fine (without labels everything is clean); further columns are
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -337,10 +338,17 @@ def _search_blocks(requests: DataFrame, blocks: Iterator[list[tuple[str, str | N
         .withColumn("row", F.monotonically_increasing_id()), "requests"
     )
     keyed = numbered.select(F.col("row").alias("address_id"), "raw_input")
-    parts = [written(_search(keyed, Phrases(block)), "hits") for block in blocks]
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
+    return numbered.select("row", "address_id").join(_merged(keyed, blocks), "row").drop("row")
+
+
+def _merged(keyed: DataFrame, blocks: Iterator[list[tuple[str, str | None]]], least: int = 0) -> DataFrame:
+    """(row, n_words, spans, label_ids) over all blocks, for requests with a row number as
+    id; only hits of ``least`` spans count.
+    """
+    parts = [
+        written(_search(keyed, Phrases(block)).where(F.size("spans") >= least), "hits") for block in blocks
+    ]
+    hits = functools.reduce(DataFrame.unionByName, parts)
     merged = hits.groupBy(F.col("address_id").alias("row")).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -360,9 +368,7 @@ def _search_blocks(requests: DataFrame, blocks: Iterator[list[tuple[str, str | N
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return numbered.select("row", "address_id").join(
-        merged.select("row", "n_words", joined.alias("spans"), "label_ids"), "row"
-    ).drop("row")
+    return merged.select("row", "n_words", joined.alias("spans"), "label_ids")
 
 
 
@@ -412,6 +418,56 @@ def remove_leaks(rows: DataFrame, labels: DataFrame, text_column: str = "raw_inp
 
         return run
 
-    for block in _label_blocks(labels):
-        rows = rows.mapInArrow(remover(Phrases(block)), schema)
-    return rows
+    blocks = _label_blocks(labels)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(remover(Phrases(first)), schema)
+    return _remove_blocks(rows, labels, text_column, itertools.chain([first, second], blocks))
+
+
+def _cut(hit: DataFrame) -> DataFrame:
+    """(row, raw_input) of hit rows without their spans."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            spans = [[(s["begin"], s["end"]) for s in x] for x in part.column("spans").to_pylist()]
+            texts = [without_spans(t.as_py(), x) for t, x in zip(part.column("raw_input"), spans)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), pa.array(texts, pa.string())], ["row", "raw_input"]
+            )
+
+    return hit.select("row", "raw_input", "spans").mapInArrow(run, "row bigint, raw_input string")
+
+
+def _remove_blocks(
+    rows: DataFrame, labels: DataFrame, text_column: str, blocks: Iterator[list[tuple[str, str | None]]]
+) -> DataFrame:
+    """As for one block: spans of all blocks are merged before the cut, and the rows that
+    changed are searched for all blocks again until none is left.
+    """
+    numbered = written(rows.select(
+        F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("whole")
+    ), "rows")
+    open_ = numbered.select("row", F.col("whole")[text_column].alias("raw_input"))
+    settled = None  # changed rows in which nothing is found any more
+    while True:
+        hits = _merged(open_.select(F.col("row").alias("address_id"), "raw_input"), blocks, 1)
+        cut = written(_cut(open_.join(hits, "row")), "cut")
+        if settled is None:
+            settled = cut.limit(0)
+        else:
+            settled = settled.unionByName(open_.join(cut.select("row"), "row", "left_anti"))
+        if cut.isEmpty():
+            break
+        open_, blocks = cut, _label_blocks(labels)
+    changed = written(
+        settled.select("row", "raw_input", F.lit(True).alias("changed")), "changed"
+    )
+    has_word = F.col("raw_input").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+    kept = numbered.join(changed, "row", "left").where(F.col("changed").isNull() | has_word)
+    return kept.select(*[
+        (F.when(F.col("changed"), F.col("raw_input")).otherwise(F.col("whole")[c]) if c == text_column
+         else F.col("whole")[c]).alias(c)
+        for c in rows.columns
+    ])

@@ -77,3 +77,19 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "label_id long, address_raw string")
     assert [r["n_hit"] for r in D.find_leaks(requests, labels).collect()] == [0, 0]
     assert D.find_leaks(requests.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("block", [1000])
+def test_removal_in_blocks_equals_one_block(spark, monkeypatch, block):
+    texts, labels = cases()
+    run = "a b c d e f g h i j k l m n o p".split()
+    # Items that share words, and one that the cut of another brings together.
+    labels += [(60, " ".join(run[:12])), (61, " ".join(run[4:])), (62, "left right"), (63, "right left")]
+    texts += ["x " + " ".join(run) + " y", f"left {' '.join(run)} right", "q left left right right q", " ".join(run)]
+    rows = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "text string, `row` long")
+    table = spark.createDataFrame(labels, "label_id long, address_raw string")
+    got = lambda: sorted(map(tuple, D.remove_leaks(rows, table, "text").collect()), key=lambda r: r[1])
+    want = got()
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    assert got() == want
+    assert D.remove_leaks(rows.limit(0), table, "text").count() == 0
