@@ -2,7 +2,9 @@
 
 The project has no table of files, so the operator is general: files are rows (path,
 content). The licence text of a file is its lines that speak of a licence (all lines, if
-its name is that of a licence file). Distinct licence texts become sparse TF-IDF vectors,
+its name is that of a licence file). Templates are statements, and the complete texts in
+``licence_texts`` for Apache-2.0, BSD-3-Clause, GPL-3.0, MIT and MPL-2.0; there is none for
+the CC licences, whose complete texts stay without a licence. Distinct licence texts become sparse TF-IDF vectors,
 with document frequencies over all of them and the templates, and are joined to the template
 vectors term by term; the template of greatest cosine names the licence if it reaches
 ``MIN_COSINE``. A file without one inherits from the nearest folder above it that has a
@@ -20,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +52,9 @@ TEMPLATES = {
     ),
     "MPL-2.0": ("this source code form is subject to the terms of the mozilla public license version 2.0",),
 }
+# Complete licence files are compared with complete texts (without copyright lines).
+for _file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+    TEMPLATES[_file.stem] += (_file.read_text(encoding="utf-8"),)
 LICENCE_LINE = r"(?i)licen[cs]e|copyright|spdx-|permission is hereby|all rights reserved|creative commons"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 

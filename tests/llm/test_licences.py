@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from alamatika.llm import licences as L
 
@@ -71,3 +72,17 @@ def test_against_plain(spark):
     assert order(got) == order(plain(files))
     assert ("a/b/c/x.txt", "GPL-3.0", "a/b") in got and ("a/z.txt", "MIT", "a") in got
     assert L.scan_licences(df.limit(0)).count() == 0
+
+
+def test_complete_licence_files(spark):
+    """Complete files, with copyright lines, in other case and line breaks, name their folder."""
+    names = ["Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0"]
+    whole = {n: (Path(L.__file__).parent / f"licence_texts/{n}.txt").read_text() for n in names}
+    files = []
+    for n in names:
+        text = "Copyright (c) 2020 Somebody Else\n" + " ".join(whole[n].split())
+        files += [(f"{n}/a/LICENSE", text), (f"{n}/a/x/f.txt", "plain"), (f"{n}/b/COPYING", text.upper()), (f"{n}/b/g.txt", "")]
+    files.append(("c/f.txt", "plain"))
+    df = spark.createDataFrame(files, "path string, content string")
+    for r in L.scan_licences(df).collect():
+        assert r["licence"] == {"c": None}.get(r["path"].split("/")[0], r["path"].split("/")[0]), r
