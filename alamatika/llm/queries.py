@@ -7,9 +7,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alamatika.llm import chat, decontaminate, licences, pieces, pii, quality, rules, simhash, toxicity, warc
+from alamatika.llm import (
+    chat, conversation_sql, decontaminate, evidence_trie, licences, ordered, pieces, pii, quality, repair, rules,
+    sharding, simhash, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,3 +306,111 @@ def op7_licence_scan(spark, d):
         number.alias("doc_id"), "path", "licence",
         F.col("inherited_from").isNotNull().alias("inherited"), "inherited_from",
     )
+
+
+# --- conversations: trie and repair --------------------------------------------------
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+
+
+BORROWED = 6  # a conversation takes fewer first turns than this from another
+
+
+def _taken(column: str):
+    return F.crc32(F.col(column).cast("string")) % BORROWED
+
+
+def _shared_beginnings(turns: DataFrame) -> DataFrame:
+    """Conversations rebuilt as evidence: the first turns of another, then their own rest."""
+    rows = turns.where(F.col("conv_id").isNotNull()).select(
+        "conv_id", F.row_number().over(
+            W.partitionBy("conv_id").orderBy(
+                F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+            )
+        ).alias("pos"),
+        F.col("role").alias("type"), F.col("text").alias("value"),
+    )
+    own = rows.where(F.col("pos") > _taken("conv_id")).select(
+        F.col("conv_id").alias("address_id"), F.col("pos").alias("ev_pos"), "type", "value"
+    )
+    heads = turns.where(F.col("conv_id").isNotNull()).select("conv_id").distinct().select(
+        F.col("conv_id").alias("address_id"),
+        (F.col("conv_id") - F.col("conv_id") % 100).alias("conv_id"),
+        F.explode(F.array(*[F.lit(i) for i in range(1, BORROWED)])).alias("ev_pos"),
+    ).where(F.col("ev_pos") <= _taken("address_id"))
+    given = rows.where((F.col("conv_id") % 100 == 0) & (F.col("pos") < BORROWED)).withColumnRenamed("pos", "ev_pos")
+    return own.unionByName(heads.join(given, ["conv_id", "ev_pos"]).select(*own.columns))
+
+
+@query("op11_conversation_trie", conversation_sql.TRIE)
+def op11_conversation_trie(spark, d):
+    turns = _turns(spark, d)
+    kind = turns.schema["conv_id"].dataType
+    trie = evidence_trie.build_trie(
+        _shared_beginnings(turns), turns.select(F.col("conv_id").alias("address_id"))
+    )
+    ends = ordered.ordered_sha256(
+        trie.ends.withColumn("id", F.col("address_id").cast("string")), "name", "address_id", "id"
+    )
+    return trie.nodes.join(ends, "name", "left").select(
+        F.col("address_id").cast(kind).alias("conv_id"), F.col("depth").cast("long").alias("depth"),
+        F.col("parent_address_id").cast(kind).alias("parent_conv_id"),
+        F.col("n_addresses").alias("n_convs"), "n_children", "n_leaves",
+        F.col("saved_chars").alias("saved_tokens"), ordered.sha256_or_empty().alias("ends_sha256"),
+    )
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"),
+        F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat(shown[0], F.lit(":"), shown[1])) % 20).alias("kind"),
+    ).where(F.col("kind") != 0)
+    text = F.when(F.col("kind") == 1, "").when(
+        F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"), F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
+FAULTS = ("gaps", "blank", "duplicate", "truncated", "illegal")
+
+
+@query("op12_conversation_repair", conversation_sql.REPAIR)
+def op12_conversation_repair(spark, d):
+    turns = _turns(spark, d)
+    marked, edits, repaired = repair.repair_conversations(_damaged(turns))
+    audits = ordered.ordered_text(edits, "conv_id", "step", "edit").withColumnRenamed("joined", "audit")
+    lines = repaired.select("conv_id", "step", F.concat("role", F.lit(":"), "text").alias("line"))
+    bodies = ordered.ordered_sha256(lines, "conv_id", "step", "line", "\n")
+    costs = edits.groupBy("conv_id").agg(F.sum("cost").alias("cost"))
+    # One row a conversation from each table; united and grouped, so a null id is a group too.
+    parts = [turns.select("conv_id").distinct(), repair.count_faults(marked), costs, audits, bodies]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    numbers = [F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in (*FAULTS, "cost")]
+    return whole.groupBy("conv_id").agg(
+        *numbers, F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("sha256"), F.lit(ordered.EMPTY_SHA256)).alias("repaired_sha256"),
+    )
+
+
+# --- sharding ------------------------------------------------------------------------
+
+SHARDS = 40
+
+
+@query("op13_sharding")
+def op13_sharding(spark, d):
+    kept = sharding.shard_requests(requests(spark, d), SHARDS)
+    size = F.coalesce(F.octet_length("raw_input"), F.lit(0)).cast("long") + sharding.ROW_BYTES
+    return with_doc_id(kept).select(
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("raw_input", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
