@@ -39,6 +39,7 @@ from alamatika.plans.gazetteer import new_folder, written
 BUCKET_BYTES = 64 << 20
 ROW_BYTES = 16  # of a row besides its text
 GROUP = 1024  # buckets whose offsets are summed together
+MOST_OFFSETS = 1_000_000  # buckets up to which their offsets are broadcast (some 40 MB)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,11 +107,15 @@ def _shuffled(seed: int):
     return run
 
 
-def shuffle_buckets(requests: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Both passes: (bucket, place, address_id, raw_input), shuffled inside each bucket."""
+def count_buckets(requests: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets of ``bucket_bytes`` on average."""
     size = F.sum(F.coalesce(F.octet_length("raw_input"), F.lit(0)).cast("long") + ROW_BYTES)
     total = requests.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-total // bucket_bytes))
+    return max(1, -(-total // bucket_bytes))
+
+
+def shuffle_buckets(requests: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """Both passes: (bucket, place, address_id, raw_input), shuffled inside each bucket."""
     rows = requests.select(
         F.xxhash64(F.lit(seed), F.col("address_id"), F.col("raw_input")).alias("place"),
         "address_id", "raw_input",
@@ -130,7 +135,8 @@ def shard_requests(
     ``shard``: (address_id, raw_input, shard from 0, slot from 0 without gaps).
     """
     spark = requests.sparkSession
-    shuffled = written(shuffle_buckets(requests, seed, bucket_bytes), "buckets")
+    buckets = count_buckets(requests, bucket_bytes)
+    shuffled = written(shuffle_buckets(requests, seed, buckets), "buckets")
     counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
         "*", F.expr(f"bucket div {GROUP}").alias("part")
     )
@@ -140,6 +146,8 @@ def shard_requests(
     own = F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("bucket")), F.lit(0))
     offsets = counts.select("bucket", "part", own.alias("own")).join(parts, "part").select(
         "bucket", (F.col("own") + F.col("ahead")).alias("offset"))
+    if buckets <= MOST_OFFSETS:  # one row a bucket, so the texts need no second exchange
+        offsets = F.broadcast(offsets)
     rows = shuffled.count()
     low, more = divmod(rows, shards)  # the first ``more`` shards hold one row more
     at, long_ = F.col("at"), more * (low + 1)
