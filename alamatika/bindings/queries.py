@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alamatika.bindings import oracles as O
 from alamatika.bindings import tables as B
+from alamatika.functions import constants as K
 from alamatika.functions import text as T
 from alamatika.operators import accuracy as A
 from alamatika.operators import candidates as C
@@ -23,7 +24,7 @@ from alamatika.operators import matching as M
 from alamatika.operators import resolution as R
 from alamatika.plans import accuracy as PA
 from alamatika.plans import validate as V
-from alamatika.plans.gazetteer import new_folder, save_regions, seed_from_dumps, written
+from alamatika.plans.gazetteer import new_folder, save_regions, seed_from_dumps
 from alamatika.sources import dumps, labelled, regions as S
 from alamatika.sources import requests as Q
 from alamatika.sources.request_log import append_log, log_rows
@@ -402,26 +403,44 @@ def _addresses(spark, d, modulus: int = 3000) -> DataFrame:
     return V.prepare(B.requests(spark, d, modulus), B.gazetteer(spark, d).registry)
 
 
+def _dealt(spark, d) -> DataFrame:
+    """Addresses dealt by id: grouping them again needs no other exchange."""
+    gaz = B.gazetteer(spark, d)
+    return V.prepare(V.dealt(B.requests(spark, d), gaz), gaz.registry)
+
+
 def _phrases(spark, d) -> DataFrame:
-    return G.phrase_dict(B.gazetteer(spark, d).regions)
+    # Has the rows of the lexicon and fewer columns, so it is small where that is.
+    gaz = B.gazetteer(spark, d)
+    return gaz.lookup("lexicon", G.phrase_dict(gaz.regions))
 
 
 def _maps(spark, d) -> dict[str, DataFrame]:
     return S.parent_maps(B.gazetteer(spark, d).hierarchy)
 
 
+def _small_maps(spark, d) -> bool:
+    return "hierarchy" in B.gazetteer(spark, d).small
+
+
 def _hits(spark, d) -> DataFrame:
-    grams = M.ngrams(_addresses(spark, d), B.gazetteer(spark, d).max_words)
-    return M.phrase_hits(grams, _phrases(spark, d))
+    gaz = B.gazetteer(spark, d)
+    grams = M.ngrams(_dealt(spark, d), gaz.max_words)
+    return M.phrase_hits(grams, gaz.lookup("phrases", gaz.phrases))
 
 
 def _words(spark, d) -> DataFrame:
-    return M.word_entities(M.greedy_spans(M.longest_hits(_hits(spark, d))), _phrases(spark, d))
+    return M.word_entities(M.greedy_spans(_hits(spark, d)), _phrases(spark, d))
+
+
+def _chosen(spark, d) -> DataFrame:
+    return V.choose_phrases(_dealt(spark, d), B.gazetteer(spark, d))
 
 
 def _resolved(spark, d) -> DataFrame:
-    return M.resolve_evidence(
-        M.evidence(_addresses(spark, d)), _words(spark, d), _phrases(spark, d))
+    gaz = B.gazetteer(spark, d)
+    tagged = M.tagged_entities(G.phrase_dict(gaz.regions))
+    return M.resolve_chosen(_chosen(spark, d), gaz.lookup("lexicon", tagged))
 
 
 def _span_columns(df: DataFrame) -> DataFrame:
@@ -450,7 +469,7 @@ def phrase_longest(spark, d):
 
 @query("phrase_greedy", O.sql(_spans_sql("walk")))
 def phrase_greedy(spark, d):
-    return _span_columns(M.greedy_spans(M.longest_hits(_hits(spark, d))))
+    return _span_columns(M.greedy_spans(_hits(spark, d)))
 
 
 @query("word_entities", O.sql("SELECT address_id, word, entity_id, level FROM word_ent"))
@@ -481,15 +500,15 @@ def resolve_evidence(spark, d):
 
 # --- candidates ----------------------------------------------------------------------
 
-def _enriched(spark, d, resolved: DataFrame | None = None) -> DataFrame:
-    found = _resolved(spark, d) if resolved is None else resolved
+def _enriched(spark, d) -> DataFrame:
     return C.enrich(
-        C.discover(C.roots(found)), _maps(spark, d), B.gazetteer(spark, d).regions)
+        C.discover(C.roots(_resolved(spark, d))), _maps(spark, d), B.gazetteer(spark, d).regions,
+        _small_maps(spark, d))
 
 
 def _concluded(spark, d) -> DataFrame:
-    resolved = written(_resolved(spark, d), "resolved")  # read twice below
-    return C.conclude(_enriched(spark, d, resolved), resolved)
+    rows = V.expand_candidates(_chosen(spark, d), B.gazetteer(spark, d), with_evidence=True)
+    return C.conclude_rows(rows)
 
 
 def _ids(*names: str) -> list[Column]:
@@ -551,9 +570,7 @@ def enrich(spark, d):
     "SELECT address_id, cand_id, string_agg(type || ':' || value || ':' || level || ':' || entity_id, ',' "
     "ORDER BY ev_pos, entity_id) AS evidence FROM matched GROUP BY ALL"))
 def match_evidence(spark, d):
-    resolved = written(_resolved(spark, d), "resolved")  # read twice below
-    rows = C.match_evidence(_enriched(spark, d, resolved), resolved)
-    return rows.select("address_id", "cand_id", csv(F.transform(
+    return _concluded(spark, d).select("address_id", "cand_id", csv(F.transform(
         "evidence", lambda e: F.concat_ws(":", e["type"], e["value"], e["level"], e["entity_id"].cast("string"))
     )).alias("evidence"))
 
@@ -664,7 +681,7 @@ def _structured(spark, d) -> DataFrame:
 
 
 def _evaluated(spark, d) -> DataFrame:
-    return E.evaluate(_structured(spark, d), _maps(spark, d))
+    return E.evaluate(_structured(spark, d), _maps(spark, d), _small_maps(spark, d))
 
 
 def _st_sql(columns: str, cte: str = "sc") -> str:
@@ -676,7 +693,7 @@ _KEY = ("address_id", "cand_id")
 
 @query("hierarchy_conflicts", _st_sql("coalesce(hc, '') AS hierarchy_conflict", "links_ok"))
 def hierarchy_conflicts(spark, d):
-    return E.hierarchy_conflict(_structured(spark, d), _maps(spark, d)).select(
+    return E.hierarchy_conflict(_structured(spark, d), _maps(spark, d), _small_maps(spark, d)).select(
         *_KEY, F.coalesce("hierarchy_conflict", F.lit("")).alias("hierarchy_conflict"))
 
 
@@ -740,14 +757,14 @@ def reasons(spark, d):
 
 # --- ranking and resolution ------------------------------------------------------------
 
-def _ranked(spark, d) -> DataFrame:
-    return R.rank(E.evaluate(_concluded(spark, d), _maps(spark, d)))
+def _judged(spark, d) -> DataFrame:
+    return E.evaluate(_concluded(spark, d), _maps(spark, d), _small_maps(spark, d))
 
 
 @query("evaluate_candidates", O.sql(
     "SELECT address_id, cand_id, confidence, status, conflicts, matched, missing, reasons FROM judged"))
 def evaluate_candidates(spark, d):
-    return E.evaluate(_concluded(spark, d), _maps(spark, d)).select(
+    return _judged(spark, d).select(
         *_KEY, "confidence", "status", conflict_text(F.col("conflicts")).alias("conflicts"),
         *[csv(c).alias(c) for c in ("matched", "missing", "reasons")])
 
@@ -755,13 +772,13 @@ def evaluate_candidates(spark, d):
 @query("rank", O.sql(
     "SELECT address_id, cand_id, CAST(rank AS INTEGER) AS cand_rank, confidence FROM ranked"))
 def rank(spark, d):
-    return _ranked(spark, d).select(*_KEY, F.col("rank").alias("cand_rank"), "confidence")
+    return R.rank(_judged(spark, d)).select(*_KEY, F.col("rank").alias("cand_rank"), "confidence")
 
 
 @query("ambiguity", O.sql("SELECT address_id, status, confidence FROM picked"))
 def ambiguity(spark, d):
-    addresses = _addresses(spark, d).select("address_id")
-    return R.with_status(addresses, R.winners(_ranked(spark, d)))
+    addresses = _dealt(spark, d).select("address_id")
+    return R.with_status(addresses, R.winners(R.top_two(_judged(spark, d))))
 
 
 @query("postal_reverse", O.sql(
@@ -823,6 +840,95 @@ def validate(spark, d):
         "metadata.location_source", "metadata.location_version")
 
 
+# --- aliases ---------------------------------------------------------------------------
+
+_ALIAS_ROWS = f"""
+SELECT n_nationkey * 2 + 100 AS location_id, n_name AS alias, n_nationkey % 7 = 3 AS gone FROM nation
+UNION ALL SELECT n_nationkey * 2 + 101, n_name, FALSE FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT n_nationkey * 2 + 100, lower(n_name) || '.', FALSE FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT n_nationkey * 2 + 1000000000100, n_name, FALSE FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_nationkey * 2 + 100, 'Kota Nation ' || {O.letters('n_nationkey')}, FALSE FROM nation
+UNION ALL SELECT r_regionkey + 1, 'Wilayah ' || r_name, FALSE FROM region
+UNION ALL SELECT r_regionkey + 1, '123', FALSE FROM region
+UNION ALL SELECT DISTINCT c_nationkey * 100 + ascii(c_mktsegment) - 55 + 1000, 'Sektor ' || c_mktsegment, FALSE FROM customer
+UNION ALL SELECT c_custkey + 1000000, 'Kp. ' || {O.letters('c_custkey')}, c_custkey % 12 = 0 FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey + 1000000, 'Dusun ' || {O.letters('c_custkey')}, FALSE FROM customer WHERE c_custkey % 8 = 0"""
+_LEVEL_SQL = "CASE level_id WHEN 2 THEN 'PROVINCE' WHEN 3 THEN 'CITY' WHEN 4 THEN 'DISTRICT' ELSE 'SUBDISTRICT' END"
+_ALIASED = {
+    "dict": f"""
+SELECT source_id, norm_name AS phrase, id AS entity_id, level_id, {_LEVEL_SQL} AS level, kode, name,
+  coalesce(postal_code, '') AS postal_code, 'name' AS origin
+FROM live WHERE level_id BETWEEN 2 AND 5 AND norm_name <> ''
+UNION ALL
+SELECT source_id, phrase, id, level_id, {_LEVEL_SQL}, kode, name, coalesce(postal_code, ''), 'alias'
+FROM (SELECT DISTINCT location_id, {O.norm_kept('k')} AS phrase FROM (
+    SELECT location_id, {O.kept('alias')} AS k FROM ({_ALIAS_ROWS}) WHERE NOT gone)) a
+  JOIN live ON live.id = a.location_id
+WHERE level_id BETWEEN 2 AND 5 AND phrase <> '' AND phrase <> norm_name""",
+    "res_postal": """
+SELECT e.*, d.entity_id, d.level, d.kode, d.name, d.postal_code FROM evidence e JOIN dict d
+ON d.source_id = e.source_id AND d.level = 'SUBDISTRICT' AND d.postal_code = e.value AND d.origin = 'name'
+WHERE e.type = 'postal_code'""",
+    "requests": f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS address_id, CASE o_orderkey % 6
+  WHEN 0 THEN 'Jl. Melati No.' || o_orderkey || ', Kp. ' || {O.letters('c_custkey')} || ', ' || n_name || ', Prov. ' || r_name
+    || ' ' || {O.postal('c_custkey', '3000')}
+  WHEN 1 THEN n_name || ' Wilayah ' || r_name
+  WHEN 2 THEN 'Kel. ' || {O.letters('c_custkey')} || ', Dusun ' || {O.letters('c_custkey')} || ', Kp. ' || {O.letters('c_custkey')}
+    || ', Sektor ' || c_mktsegment
+  WHEN 3 THEN 'Sektor ' || c_mktsegment || ', Nation ' || ln || ', ' || n_name
+  WHEN 4 THEN n_name
+  ELSE 'Dusun ' || {O.letters('c_custkey')} || ', Kec. ' || c_mktsegment || ', Prov. ' || r_name END AS address,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN 'bps' ELSE 'kemendagri' END AS source_code
+FROM places JOIN nation ON n_nationkey = n""",
+    "how": """
+SELECT s.address_id, d.entity_id, coalesce(min(s.phrase) FILTER (origin = 'name'), min(s.phrase)) AS matched_name,
+  CASE WHEN bool_or(origin = 'name') THEN 'top_down,any_level' ELSE 'top_down,any_level,alias' END AS strategies
+FROM walk s JOIN dict d ON d.source_id = s.source_id AND d.phrase = s.phrase GROUP BY ALL""",
+    "shown": """
+SELECT n.address_id, string_agg(n.cand_id || '|' || n.confidence || '|' || strategies || '|' || matched_name, ';' ORDER BY rank) AS found
+FROM named n JOIN how h ON h.address_id = n.address_id AND h.entity_id = n.entity_id WHERE n.p_id IS NOT NULL GROUP BY n.address_id""",
+}
+
+
+@query("alias_phrases", O.sql(
+    "SELECT source_id, phrase, entity_id, level, kode, name, CASE WHEN level_id IN (3, 5) THEN postal_code ELSE '' END AS postal_code, origin "
+    "FROM dict", extra=_ALIASED))
+def alias_phrases(spark, d):
+    """The dictionary with other names (X2): deleted, repeated and empty ones are left out."""
+    return G.named_phrases(B.regions(spark, d), B.aliases(spark, d)).select(
+        "source_id", "phrase", "entity_id", "level", "kode", "name", "postal_code", "origin")
+
+
+@query("alias_validate", O.sql(
+    "SELECT a.address_id, status, confidence, formatted_address, matched, ambiguous, strategy, candidate_count, "
+    "coalesce(found, '') AS candidates FROM answers a LEFT JOIN shown s ON s.address_id = a.address_id", extra=_ALIASED))
+def alias_validate(spark, d):
+    """Addresses that use other names, with how each candidate was found."""
+    v = V.validate(B.alias_requests(spark, d), B.gazetteer_with_aliases(spark, d))
+    entry = lambda c: F.concat_ws(
+        "|", c["uuid"], c["score"].cast("string"), csv(c["strategies"]), c["matched_name"])
+    return v.select(
+        "address_id", "status", "confidence", "formatted_address", csv("assessment.matched").alias("matched"),
+        csv("assessment.ambiguous").alias("ambiguous"), csv("resolution.strategy").alias("strategy"),
+        F.col("resolution.candidate_count").cast("long").alias("candidate_count"),
+        csv(F.transform("resolution.candidates", entry), ";").alias("candidates"))
+
+
+@query("alias_candidates", O.sql(
+    "SELECT c.address_id, c.cand_id, strategies, matched_name FROM cand c JOIN how h ON h.address_id = c.address_id AND h.entity_id = c.entity_id",
+    extra=_ALIASED))
+def alias_candidates(spark, d):
+    """Candidates of the step operators, from the dictionary with other names."""
+    gaz = B.gazetteer_with_aliases(spark, d)
+    phrases = G.named_phrases(gaz.regions, B.aliases(spark, d))
+    texts = V.prepare(B.alias_requests(spark, d), gaz.registry)
+    words = M.match_phrases(texts, phrases, gaz.max_words)
+    found = M.resolve_evidence(M.evidence(texts), words, phrases)
+    return C.discover(C.roots(found)).select(
+        "address_id", "cand_id", csv("strategies").alias("strategies"), "matched_name")
+
+
 # --- accuracy and log ------------------------------------------------------------------
 
 _TRUTH = f"""SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS address_id, 'Prov. ' || r_name AS tp, upper('Kota Nation ' || ln) AS tc,
@@ -865,6 +971,39 @@ def accuracy_counts(spark, d):
     return A.outcome_counts(_compared(spark, d))
 
 
+_WILSON = "CAST(3.8416 AS DOUBLE)"  # 1.96 squared
+_CENTRE = f"(CAST(correct AS DOUBLE) / labels + {_WILSON} / (2 * labels)) / (1 + {_WILSON} / labels)"
+_HALF = (
+    f"CAST(1.96 AS DOUBLE) * sqrt((CAST(correct AS DOUBLE) / labels * (1 - CAST(correct AS DOUBLE) / labels) + {_WILSON} / (4 * labels)) / labels)"
+    f" / (1 + {_WILSON} / labels)")
+
+
+@query("accuracy_rollup", O.sql(
+    f"""SELECT source, province, level, labels, answered, correct,
+      round(CAST(correct AS DOUBLE) / labels * 10000) / 10000 AS accuracy,
+      CASE WHEN correct = 0 THEN CAST(0 AS DOUBLE) ELSE round(({_CENTRE} - {_HALF}) * 10000) / 10000 END AS low,
+      CASE WHEN correct = labels THEN CAST(1 AS DOUBLE) ELSE round(({_CENTRE} + {_HALF}) * 10000) / 10000 END AS high FROM tally""",
+    extra={**_FLAGS, "per_label": """
+SELECT source_code AS source, tp AS province, level, ok, same FROM (
+  SELECT r.source_code, t.tp, f.ok, unnest(['province', 'city', 'district', 'subdistrict']) AS level,
+    unnest([same_province, same_city, same_district, same_subdistrict]) AS same
+  FROM flags f JOIN truth t ON t.address_id = f.address_id JOIN routed r ON r.address_id = f.address_id)""",
+           "tally": """
+SELECT CASE WHEN grouping(source) = 1 THEN '*' ELSE source END AS source,
+  CASE WHEN grouping(province) = 1 THEN '*' ELSE province END AS province,
+  CASE WHEN grouping(level) = 1 THEN '*' ELSE level END AS level,
+  count(*) AS labels, count(*) FILTER (ok) AS answered, count(*) FILTER (same) AS correct
+FROM per_label GROUP BY CUBE (source, province, level)"""}))
+def accuracy_rollup(spark, d):
+    """Accuracy by source, true province and level with all their totals."""
+    given = B.requests(spark, d).withColumnRenamed("address", "raw_address")
+    labels = _truth(spark, d).join(given, "address_id")
+    compared = PA.replay(labels, B.gazetteer(spark, d), keep=("source_code",))
+    return A.rollup(compared.select(
+        "*", F.coalesce(F.nullif("source_code", F.lit("")), F.lit(K.DEFAULT_SOURCE)).alias("source"),
+        F.col("actual_province").alias("province")), ("source", "province"))
+
+
 @query("same_text", O.sql(
     "SELECT c_custkey, lower(trim(c_name)) = lower(trim(' ' || upper(n_name) || '  ')) AS eq_name, "
     "lower(trim(n_name)) = lower(trim(' ' || upper(n_name) || '  ')) AS eq_self "

@@ -207,3 +207,79 @@ def requests(spark: SparkSession, sf_dir: str, postal_modulus: int = 3000) -> Da
     return rows.select(
         order.alias("address_id"), address.alias("address"), source.alias("source_code")
     )
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other names of the derived regions (X2): (location_id, alias, deleted_at).
+
+    Some are deleted, some repeat another in other letters, some repeat the own name or
+    hold no word, and twin cities share theirs.
+    """
+    nation = table(spark, sf_dir, "nation")
+    n, name, lit = F.col("n_nationkey"), F.col("n_name"), F.lit
+
+    def rows(df: DataFrame, location: Column, alias: Column, gone: Column | None = None) -> DataFrame:
+        deleted = F.expr(NO_TIME) if gone is None else F.when(gone, F.expr(DELETED))
+        return df.select(
+            location.cast("long").alias("location_id"), alias.alias("alias"), deleted.alias("deleted_at")
+        )
+
+    region = table(spark, sf_dir, "region")
+    customer = table(spark, sf_dir, "customer")
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    parts = [
+        rows(nation, n * 2 + 100, name, n % 7 == 3),
+        rows(nation.where(n % 5 == 0), n * 2 + 101, name),
+        rows(nation.where(n % 3 == 0), n * 2 + 100, F.concat(F.lower(name), lit("."))),
+        rows(nation.where(n % 2 == 0), n * 2 + 100 + SECOND_SOURCE, name),
+        rows(nation, n * 2 + 100, F.concat(lit("Kota Nation "), letters(n))),
+        rows(region, F.col("r_regionkey") + 1, F.concat(lit("Wilayah "), F.col("r_name"))),
+        rows(region, F.col("r_regionkey") + 1, lit("123")),
+        rows(customer.select("c_nationkey", "c_mktsegment").distinct(),
+             F.col("c_nationkey") * 100 + _segment_code(seg) + 1000, F.concat(lit("Sektor "), seg)),
+        rows(customer.where(k % 4 == 0), k + 1_000_000, F.concat(lit("Kp. "), letters(k)), k % 12 == 0),
+        rows(customer.where(k % 8 == 0), k + 1_000_000, F.concat(lit("Dusun "), letters(k))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_NAMED: dict[tuple, Gazetteer] = {}
+
+
+def gazetteer_with_aliases(spark: SparkSession, sf_dir: str) -> Gazetteer:
+    """The derived gazetteer with aliases, seeded once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _NAMED:
+        _NAMED[key] = Gazetteer.build(
+            sources(spark), regions(spark, sf_dir), aliases=aliases(spark, sf_dir)
+        )
+    return _NAMED[key]
+
+
+def alias_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per order whose text uses other names of its places."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_n"), "n_name")
+    rows = orders_with_places(spark, sf_dir).join(nations, F.col("n_nationkey") == F.col("_n"))
+    o, lit = F.col("o_orderkey"), F.lit
+    order, sub = o.cast("string"), letters(F.col("c_custkey"))
+    nation, city = F.col("n_name"), letters(F.col("n_nationkey"))
+    seg, prov, code = F.col("c_mktsegment"), F.col("r_name"), postal_of(F.col("c_custkey"))
+    style = o % 6
+    address = (
+        F.when(style == 0, F.concat(
+            lit("Jl. Melati No."), order, lit(", Kp. "), sub, lit(", "), nation, lit(", Prov. "), prov,
+            lit(" "), code))
+        .when(style == 1, F.concat(nation, lit(" Wilayah "), prov))
+        .when(style == 2, F.concat(
+            lit("Kel. "), sub, lit(", Dusun "), sub, lit(", Kp. "), sub, lit(", Sektor "), seg))
+        .when(style == 3, F.concat(lit("Sektor "), seg, lit(", Nation "), city, lit(", "), nation))
+        .when(style == 4, nation)
+        .otherwise(F.concat(lit("Dusun "), sub, lit(", Kec. "), seg, lit(", Prov. "), prov))
+    )
+    source = F.when(F.col("o_orderpriority") == "2-HIGH", lit("bps")).otherwise(lit("kemendagri"))
+    return rows.select(
+        order.alias("address_id"), address.alias("address"), source.alias("source_code")
+    )

@@ -35,6 +35,8 @@ COMPONENTS = ("province", "city", "district", "sub_district", "postal_code")
 # Discovery strategies tagged on every candidate.
 STRATEGIES = ("top_down", "any_level")
 
+ALIAS_STRATEGY = "alias"  # besides those, on a candidate that only an alias names
+
 # Score weights.
 W_EXACT = 0.10
 W_HIERARCHY = 0.15
@@ -78,3 +80,6 @@ ADDRESS_REQUIRED = "address is required"
 ADDRESS_TOO_LONG = "address exceeds maximum length of %d characters"
 
 # --- end of fixed values ----------------------------------------------------------
+
+# Where a phrase of the dictionary comes from.
+BY_NAME, BY_ALIAS = "name", "alias"

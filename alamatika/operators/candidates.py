@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions.scoring import filled_levels
+from alamatika.operators.bounded import lookup_left
 from alamatika.sources.regions import active
 
 SLOTS = ("province_id", "city_id", "district_id", "subdistrict_id")
@@ -21,10 +22,17 @@ EVIDENCE_STRUCT = "array<struct<type:string,value:string,entity_id:bigint,level:
 
 def roots(resolved: DataFrame) -> DataFrame:
     """Distinct entities of an address; postal evidence never roots a candidate."""
+    found = resolved.where(F.col("entity_id").isNotNull() & (F.col("type") != K.POSTAL_CODE))
+    columns = ["address_id", "source_id", "entity_id", "level", "kode", "name", "postal_code"]
+    if "origin" not in resolved.columns:
+        return found.select(*columns).dropDuplicates(["address_id", "entity_id"])
+    # Found by its own name and by an alias (X2), a region counts as found by its name.
+    first = F.min(F.struct(F.col("origin") != K.BY_NAME, "matched_name", "origin"))
+    keys = ["address_id", "entity_id"]
     return (
-        resolved.where(F.col("entity_id").isNotNull() & (F.col("type") != K.POSTAL_CODE))
-        .select("address_id", "source_id", "entity_id", "level", "kode", "name", "postal_code")
-        .dropDuplicates(["address_id", "entity_id"])
+        found.groupBy(*keys)
+        .agg(*[F.first(c).alias(c) for c in columns if c not in keys], first.alias("_m"))
+        .select(*columns, "_m.origin", "_m.matched_name")
     )
 
 
@@ -40,6 +48,12 @@ def discover(roots_: DataFrame) -> DataFrame:
         F.when(F.col("level") == level, F.col("entity_id")).alias(slot)
         for level, slot in SLOT_OF.items()
     ]
+    strategies = F.array(*[F.lit(s) for s in K.STRATEGIES])
+    named = []
+    if "origin" in roots_.columns:
+        by_alias = F.col("origin") == K.BY_ALIAS
+        strategies = F.when(by_alias, F.array_append(strategies, F.lit(K.ALIAS_STRATEGY))).otherwise(strategies)
+        named = ["matched_name"]
     return roots_.select(
         "address_id",
         candidate_id(F.col("address_id"), F.col("entity_id")).alias("cand_id"),
@@ -49,7 +63,8 @@ def discover(roots_: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("postal_id"),
         F.lit(None).cast("string").alias("postal_code"),
         F.when(is_sub, F.nullif("postal_code", F.lit(""))).alias("own_postal"),
-        F.array(*[F.lit(s) for s in K.STRATEGIES]).alias("strategies"),
+        strategies.alias("strategies"),
+        *named,
     )
 
 
@@ -99,12 +114,14 @@ def dedup_merge(candidates: DataFrame, order: str = "cand_id") -> DataFrame:
 
 
 def enrich(
-    candidates: DataFrame, parents: dict[str, DataFrame], regions: DataFrame
+    candidates: DataFrame, parents: dict[str, DataFrame], regions: DataFrame, small: bool = False
 ) -> DataFrame:
     """C10 + C11: fill empty parents bottom-up, then the postal slot.
 
     A parent is filled only when its own row is active. Each step is a lookup of the
     child's id in a (child, parent) table, already reduced to parents that exist.
+    ``small``: the parent maps are measured within the broadcast bound; otherwise rows
+    without an id and those of popular regions are spread.
     """
     out = candidates
     for child, parent, level_id in (
@@ -119,9 +136,9 @@ def enrich(
             F.col(child).alias("_child"), F.col(parent).alias("_up")
         ).join(exists, "_up", "left_semi")
         out = (
-            out.join(step, F.col(child) == F.col("_child"), "left")
+            lookup_left(out, child, step, "_child", small)
             .withColumn(parent, F.coalesce(parent, "_up"))
-            .drop("_child", "_up")
+            .drop("_up")
         )
     has_code = (
         F.col("postal_id").isNull()
@@ -187,3 +204,52 @@ def conclude(candidates: DataFrame, resolved: DataFrame, order: str = "cand_id")
     return match_evidence(first, resolved).withColumn(
         "levels", filled_levels(*[F.col(s) for s in SLOTS])
     )
+
+
+def conclude_rows(expanded: DataFrame) -> DataFrame:
+    """C1..C14 on rows that hold a root with its whole chain, the phrases ``chosen`` in its
+    text and ``all_evidence`` of it: each candidate finds its evidence in its own row.
+
+    A place word is evidence for a slot whose name was chosen and holds the word, the first
+    postal code for a subdistrict with that code. Rows without an entity are left out. A root
+    is the deepest filled slot of its candidate, so keys are distinct (C12) by construction.
+    """
+    rows = expanded.where(F.col("entity_id").isNotNull())
+    names = dict(zip(SLOT_OF, ("province", "city", "district", "subdistrict")))
+    for name in names.values():
+        said = F.array_contains("chosen", F.col(f"{name}_phrase"))
+        rows = rows.withColumn(f"_{name}", F.when(said, F.split(f"{name}_phrase", " ")))
+
+    def hits(e: Column) -> Column:
+        items = []
+        for level, name in names.items():
+            hit = (e["type"] == K.PLACE_NAME) & F.array_contains(F.col(f"_{name}"), e["value"])
+            if level == K.SUBDISTRICT:
+                hit = F.coalesce(hit, F.lit(False)) | (
+                    (e["type"] == K.POSTAL_CODE) & (e["value"] == F.col("postal_code"))
+                )
+            items.append(F.when(hit, F.struct(
+                F.col(SLOT_OF[level]).alias("entity_id"), e["type"].alias("type"),
+                e["value"].alias("value"), F.lit(level).alias("level"),
+                F.col(f"{name}_name").alias("name"),
+            )))
+        return F.sort_array(F.array_compact(F.array(*items)))
+
+    evidence = F.transform(
+        F.flatten(F.transform("all_evidence", hits)),
+        lambda x: F.struct(x["type"], x["value"], x["entity_id"], x["level"], x["name"]),
+    )
+    has_code = F.col("postal_code").isNotNull()
+    return rows.select(
+        "address_id",
+        candidate_id(F.col("address_id"), F.col("entity_id")).alias("cand_id"),
+        F.col("level").alias("origin_level"),
+        "kode",
+        *SLOTS,
+        F.when(has_code, F.col("subdistrict_id")).alias("postal_id"),
+        "postal_code",
+        F.col("postal_code").alias("own_postal"),
+        F.array(*[F.lit(s) for s in K.STRATEGIES]).alias("strategies"),
+        evidence.cast(EVIDENCE_STRUCT).alias("evidence"),
+        filled_levels(*[F.col(s) for s in SLOTS]).alias("levels"),
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions import scoring as S
+from alamatika.operators.bounded import lookup_left
 from alamatika.operators.candidates import SLOT_OF, SLOTS
 
 
@@ -24,12 +25,14 @@ def _slots() -> list[Column]:
     return [F.col(s) for s in SLOTS]
 
 
-def hierarchy_conflict(candidates: DataFrame, parents: dict[str, DataFrame] | None) -> DataFrame:
+def hierarchy_conflict(
+    candidates: DataFrame, parents: dict[str, DataFrame] | None, small: bool = False
+) -> DataFrame:
     """Adds ``hierarchy_conflict``: message of the first broken link, or null.
 
-    A child that is not in the parent map is a broken link; empty slots are skipped. The maps
-    carry no hint: Spark broadcasts those that their files show to be small.
-    Without parent maps nothing is checked.
+    A child that is not in the parent map is a broken link; empty slots are skipped.
+    ``small``: the maps are measured within the broadcast bound; otherwise rows with an empty
+    slot and those of popular regions are spread. Without parent maps nothing is checked.
     """
     if parents is None:
         return candidates.withColumn("hierarchy_conflict", F.lit(None).cast("string"))
@@ -43,9 +46,7 @@ def hierarchy_conflict(candidates: DataFrame, parents: dict[str, DataFrame] | No
         lookup = parents[child].select(
             F.col(child).alias(f"_{child}"), F.col(parent).alias(f"_up_{child}")
         )
-        out = out.join(
-            lookup, F.col(child) == F.col(f"_{child}"), "left"
-        ).drop(f"_{child}")
+        out = lookup_left(out, child, lookup, f"_{child}", small)
         wrong = (
             F.col(child).isNotNull()
             & F.col(parent).isNotNull()
@@ -203,9 +204,11 @@ def multi_evidence_bonus() -> Column:
     return S.capped_bonus(total)
 
 
-def evaluate(candidates: DataFrame, parents: dict[str, DataFrame] | None) -> DataFrame:
-    """E1..E15 of every candidate."""
-    rows = hierarchy_conflict(candidates, parents).withColumn("conflicts", conflicts())
+def evaluate(
+    candidates: DataFrame, parents: dict[str, DataFrame] | None, small: bool = False
+) -> DataFrame:
+    """E1..E15 of every candidate; ``small`` as for E1."""
+    rows = hierarchy_conflict(candidates, parents, small).withColumn("conflicts", conflicts())
     # Facts used by both score and reasons, computed once per row.
     facts = {f"_{level}": flag for level, flag in matched_levels().items()}
     rows = rows.withColumns({

@@ -212,21 +212,54 @@ def phrase_dict(regions: DataFrame) -> DataFrame:
     return name_index(regions).where(F.col("phrase") != "")
 
 
+ALIAS_COLUMNS = ("id", "location_id", "alias", "created_at", "updated_at", "deleted_at")
+
+
+def alias_index(aliases: DataFrame, regions: DataFrame) -> DataFrame:
+    """Other names of regions: (source_id, phrase, entity_id, level, kode, name, postal_code).
+
+    ``aliases``: location_id, alias, deleted_at. Soft-deleted aliases and those of deleted
+    regions are left out, as are names without a word and those that only repeat the region's
+    own; spellings that normalise alike count once. ``name`` is the region's own name.
+    """
+    own = name_index(regions)
+    given = active(aliases).select(
+        F.col("location_id").alias("entity_id"), T.normalize(F.col("alias")).alias("_alias")
+    ).where(F.coalesce("_alias", F.lit("")) != "").distinct()
+    return (
+        own.join(given, "entity_id")
+        .where(~F.col("_alias").eqNullSafe(F.col("phrase")))
+        .withColumn("phrase", F.col("_alias"))
+        .select(*own.columns)
+    )
+
+
+def named_phrases(regions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """G8 with X2: the dictionary of own names and aliases, told apart by ``origin``."""
+    return phrase_dict(regions).withColumn("origin", F.lit(K.BY_NAME)).unionByName(
+        alias_index(aliases, regions).withColumn("origin", F.lit(K.BY_ALIAS))
+    )
+
+
 def longest_phrase(phrases: DataFrame) -> int:
     """Words of the longest phrase, the bound for spans (one number back)."""
     words = F.size(F.split("phrase", " "))
     return phrases.agg(F.coalesce(F.max(words), F.lit(0)).alias("n")).first()["n"]
 
 
-def lexicon(regions: DataFrame, hierarchy: DataFrame) -> DataFrame:
+def lexicon(regions: DataFrame, hierarchy: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Phrase dictionary with each entity's whole chain of ancestors (C10 done once).
 
+    With ``aliases`` (X2) a region has one row for its own name and one for each alias, told
+    apart by ``origin``; ``*_phrase`` are own names in both.
+
     Ancestors come from the hierarchy's parent maps, level by level, and only when the
     parent row is active. ``*_phrase`` is null for names without a place word: they are
     found in a text but are evidence for nothing.
     """
     maps = parent_maps(hierarchy)
-    rows = phrase_dict(regions)
+    # A region whose own name has no word can still have an alias.
+    rows = phrase_dict(regions) if aliases is None else name_index(regions)
 
     def place_phrase(phrase: Column) -> Column:
         return F.when(F.size(T.place_words(phrase)) > 0, phrase)
@@ -274,7 +307,28 @@ def lexicon(regions: DataFrame, hierarchy: DataFrame) -> DataFrame:
             f"{name}_words",
             F.when(phrase.isNotNull(), F.size(T.place_words(phrase))).otherwise(F.lit(0)),
         )
-    return out
+    if aliases is None:
+        return out
+    other = alias_index(aliases, regions).select("entity_id", F.col("phrase").alias("_alias"))
+    found = out.join(other, "entity_id").withColumns({
+        "phrase": F.col("_alias"), "place_words": F.size(T.place_words(F.col("_alias"))),
+        "origin": F.lit(K.BY_ALIAS),
+    })
+    own = out.where(F.col("phrase") != "").withColumn("origin", F.lit(K.BY_NAME))
+    return own.unionByName(found.select(*own.columns))
+
+
+def lookup_phrases(lexicon_: DataFrame) -> DataFrame:
+    """Distinct (source_id, phrase) of a lexicon; with aliases also ``alias_of``: the regions
+    whose alias it is, if the alias has a place word.
+    """
+    if "origin" not in lexicon_.columns:
+        return lexicon_.select("source_id", "phrase").distinct()
+    by_alias = (F.col("origin") == K.BY_ALIAS) & (F.col("place_words") > 0)
+    ids = F.sort_array(F.collect_set(F.when(by_alias, F.col("entity_id"))))
+    return lexicon_.groupBy("source_id", "phrase").agg(ids.alias("alias_of")).withColumn(
+        "alias_of", F.when(F.size("alias_of") > 0, F.col("alias_of"))
+    )
 
 
 def reverse_postal(regions: DataFrame) -> DataFrame:

@@ -74,8 +74,7 @@ def ngrams(addresses: DataFrame, max_words: int) -> DataFrame:
 
 def phrase_hits(grams: DataFrame, phrases: DataFrame) -> DataFrame:
     """M2: spans that are a name of the same source."""
-    keys = phrases.select("source_id", "phrase").distinct()
-    return grams.join(keys, ["source_id", "phrase"], "left_semi")
+    return grams.join(phrases.select("source_id", "phrase"), ["source_id", "phrase"], "left_semi")
 
 
 def longest_hits(hits: DataFrame) -> DataFrame:
@@ -106,10 +105,83 @@ def word_entities(selected: DataFrame, phrases: DataFrame) -> DataFrame:
     ).distinct()
     return per_word.join(phrases, ["source_id", "phrase"]).select(
         "address_id", "source_id", "word", "phrase", "entity_id", "level", "kode", "name",
-        "postal_code",
+        "postal_code", *_origin(phrases),
     )
 
 
+def _origin(df: DataFrame) -> list[str]:
+    """Columns that only a dictionary with aliases has."""
+    return [c for c in ("origin", "matched_name") if c in df.columns]
+
+
+def carrier_key() -> Column:
+    """Join key of a row that only carries its text along: '#' is in no phrase, so the key
+    finds nothing and spreads carriers by address.
+    """
+    return F.concat(F.lit("#"), F.col("address_id").cast("string"))
+
+
+def chosen_phrases(texts: DataFrame, phrases: DataFrame, max_words: int) -> DataFrame:
+    """M1..M4 in one pass: per text its columns and ``chosen``, its distinct selected phrases.
+
+    ``texts``: address_id, copy (tells texts of one id apart), source_id, normalized and
+    others, which travel on one carrier row beside the spans. ``phrases``: distinct
+    (source_id, phrase), hinted or not; texts dealt by address stay so if it is broadcast.
+    Equal texts of one id are one row, ``times`` tells how many they were. If phrases have
+    ``alias_of`` (ids of regions), ``aliased`` holds (entity_id, phrase) of the selected ones.
+    """
+    named = "alias_of" in phrases.columns
+    payload = F.struct(*[c for c in texts.columns if c not in ("address_id", "copy")])
+    payload_type = texts.select(payload.alias("p")).schema["p"].dataType
+    carrier = F.struct(
+        carrier_key().alias("phrase"),
+        F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("minus_end"),
+        payload.alias("payload"),
+    )
+
+    def looked_up(start: Column, end: Column, phrase: Column) -> Column:
+        return F.struct(
+            phrase.alias("phrase"),
+            start.alias("start"),
+            (-end).alias("minus_end"),
+            F.lit(None).cast(payload_type).alias("payload"),
+        )
+
+    rows = texts.withColumn("words", T.words_of(F.col("normalized"))).select(
+        "address_id",
+        "copy",
+        "source_id",
+        F.inline(F.concat(F.array(carrier), spans(F.col("words"), max_words, looked_up))),
+    )
+    known = phrases.withColumn("known", F.lit(True))
+    hits = rows.join(known, ["source_id", "phrase"], "left").where(
+        F.col("known") | F.col("start").isNull()
+    )
+    is_span = F.col("start").isNotNull()
+    aggs = [
+        F.first("payload", ignorenulls=True).alias("p"),
+        F.collect_list(F.when(is_span, F.struct("start", "minus_end", "phrase"))).alias("hits"),
+        F.count_if(~is_span).alias("times"),
+    ]
+    if named:
+        other = F.when(is_span & F.col("alias_of").isNotNull(), F.struct("phrase", "alias_of"))
+        aggs.append(F.collect_set(other).alias("others"))
+    chosen = F.array_distinct(F.transform(greedy(F.col("hits")), lambda s: s["phrase"]))
+    out = hits.groupBy("address_id", "copy").agg(*aggs).select(
+        "address_id", "copy", "p.*", "times", chosen.alias("chosen"), *(["others"] if named else [])
+    )
+    if not named:
+        return out
+    selected = F.filter("others", lambda o: F.array_contains("chosen", o["phrase"]))
+    return out.withColumn("aliased", F.flatten(F.transform(
+        selected,
+        lambda o: F.transform(
+            o["alias_of"], lambda e: F.struct(e.alias("entity_id"), o["phrase"].alias("phrase"))
+        ),
+    ))).drop("others")
+
+
 def match_phrases(addresses: DataFrame, phrases: DataFrame, max_words: int) -> DataFrame:
     """M1..M5: (address_id, word, entity) of every word inside a selected phrase."""
     hits = phrase_hits(ngrams(addresses, max_words), phrases)
@@ -129,6 +201,8 @@ _ENTITY = ("entity_id", "level", "kode", "name", "postal_code")
 
 
 def _postal_lookup(evidence_: DataFrame, phrases: DataFrame, how: str) -> DataFrame:
+    if "origin" in phrases.columns:
+        phrases = phrases.where(F.col("origin") == K.BY_NAME)  # a region once
     codes = phrases.where(
         (F.col("level") == K.SUBDISTRICT) & (F.col("postal_code") != "")
     ).select("source_id", F.col("postal_code").alias("value"), *_ENTITY)
@@ -138,12 +212,19 @@ def _postal_lookup(evidence_: DataFrame, phrases: DataFrame, how: str) -> DataFr
 
 
 def _place_lookup(evidence_: DataFrame, words: DataFrame, how: str) -> DataFrame:
-    found = words.select(
-        "address_id", F.col("word").alias("value"), *_ENTITY
-    ).dropDuplicates(["address_id", "value", "entity_id"])
+    words = words.withColumnRenamed("word", "value")
+    key = ["address_id", "value", "entity_id"]
+    if "origin" in words.columns:
+        # A region once per word: under its own name if that was selected, else its first alias.
+        first = F.min(F.struct(F.col("origin") != K.BY_NAME, "origin", F.col("phrase").alias("matched_name")))
+        found = words.groupBy(*key).agg(
+            *[F.first(c).alias(c) for c in _ENTITY if c not in key], first.alias("_m")
+        ).select(*key, *[c for c in _ENTITY if c not in key], "_m.origin", "_m.matched_name")
+    else:
+        found = words.select("address_id", "value", *_ENTITY).dropDuplicates(key)
     return evidence_.where(F.col("type") == K.PLACE_NAME).join(
         found, ["address_id", "value"], how
-    ).select(*evidence_.columns, *_ENTITY)
+    ).select(*evidence_.columns, *_ENTITY, *_origin(found))
 
 
 def resolve_postal(evidence_: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -159,5 +240,42 @@ def resolve_place(evidence_: DataFrame, words: DataFrame) -> DataFrame:
 def resolve_evidence(evidence_: DataFrame, words: DataFrame, phrases: DataFrame) -> DataFrame:
     """M9: M6 and M7 together; evidence that resolves to nothing stays with nulls."""
     return _postal_lookup(evidence_, phrases, "left").unionByName(
-        _place_lookup(evidence_, words, "left")
+        _place_lookup(evidence_, words, "left"), allowMissingColumns=True
+    )
+
+
+def tagged_entities(phrases: DataFrame) -> DataFrame:
+    """One dimension for M6 and M7: entities keyed (type, source_id, key), by phrase for place
+    evidence and by postal code for postal evidence.
+    """
+    places = phrases.select(
+        F.lit(K.PLACE_NAME).alias("type"), "source_id", F.col("phrase").alias("key"), *_ENTITY
+    )
+    coded = phrases.where((F.col("level") == K.SUBDISTRICT) & (F.col("postal_code") != ""))
+    return places.unionByName(coded.select(
+        F.lit(K.POSTAL_CODE).alias("type"), "source_id", F.col("postal_code").alias("key"), *_ENTITY
+    ))
+
+
+def resolve_chosen(chosen: DataFrame, tagged: DataFrame) -> DataFrame:
+    """M9 on texts with their chosen phrases (``chosen_phrases``), by one lookup in
+    ``tagged_entities``.
+
+    A place word asks with each selected phrase it is a word of, a postal code with itself;
+    what has nothing to ask with gets a key of its own that finds nothing, so unresolved
+    evidence stays, and is spread by address if this is a shuffle join.
+    """
+    rows = chosen.select(
+        "address_id", "source_id", "chosen",
+        F.posexplode(T.extract_evidence(F.col("normalized"))).alias("ev_pos", "e"),
+    ).select("address_id", "source_id", "ev_pos", "e.type", "e.value", "chosen")
+    keys = F.when(F.col("type") == K.POSTAL_CODE, F.array("value")).otherwise(
+        F.filter("chosen", lambda p: F.array_contains(F.split(p, " "), F.col("value")))
+    )
+    asked = rows.withColumn("keys", keys).select(
+        "address_id", "source_id", "ev_pos", "type", "value",
+        F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(carrier_key()))).alias("key"),
+    )
+    return asked.join(tagged, ["type", "source_id", "key"], "left").select(
+        "address_id", "source_id", "ev_pos", "type", "value", *_ENTITY
     )

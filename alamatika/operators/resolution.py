@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
@@ -16,26 +17,45 @@ LOCATION_TYPE = (
 )
 
 
-def rank(evaluated: DataFrame) -> DataFrame:
-    """Adds ``rank`` and, for R2, ``next_confidence``.
-
-    Order: confidence, filled levels (both descending), conflicts, then kode and id so
-    that ties are the same on every run.
-    """
-    w = W.partitionBy("address_id").orderBy(
+def _order() -> WindowSpec:
+    return W.partitionBy("address_id").orderBy(
         F.col("confidence").desc(),
         F.col("levels").desc(),
         F.size("conflicts"),
         F.col("kode"),
         F.col("cand_id"),
     )
+
+
+def _levels(evaluated: DataFrame) -> DataFrame:
+    return evaluated.withColumn("levels", S.filled_levels(*[F.col(s) for s in SLOTS]))
+
+
+def rank(evaluated: DataFrame) -> DataFrame:
+    """Adds ``rank`` and, for R2, ``next_confidence``.
+
+    Order: confidence, filled levels (both descending), conflicts, then kode and id so
+    that ties are the same on every run.
+    """
+    w = _order()
     return (
-        evaluated.withColumn("levels", S.filled_levels(*[F.col(s) for s in SLOTS]))
+        _levels(evaluated)
         .withColumn("rank", F.row_number().over(w))
         .withColumn("next_confidence", F.lead("confidence").over(w))
     )
 
 
+def top_two(evaluated: DataFrame) -> DataFrame:
+    """R1 for R2 alone: the first two candidates of each address, as ``rank`` has them.
+
+    Tasks drop the others before any exchange (a window group limit); the second is looked
+    up among the two that are left.
+    """
+    w = _order()
+    first = _levels(evaluated).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2)
+    return first.withColumn("next_confidence", F.lead("confidence").over(w))
+
+
 def winners(ranked: DataFrame) -> DataFrame:
     """R2: the top candidate of each address with its final status."""
     return ranked.where(F.col("rank") == 1).withColumn(

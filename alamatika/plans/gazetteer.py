@@ -67,20 +67,25 @@ class Gazetteer:
         regions: DataFrame,
         hierarchy: DataFrame | None = None,
         *,
+        aliases: DataFrame | None = None,
         save: bool = True,
         max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     ) -> "Gazetteer":
-        """Derive the lookup tables; ``save`` writes them once to the shared folder."""
+        """Derive the lookup tables; ``save`` writes them once to the shared folder.
+
+        ``aliases`` (location_id, alias, deleted_at): other names under which regions are
+        found too.
+        """
         spark = regions.sparkSession
         write = _Writer(spark) if save else (lambda df, name: df)
         regions = write(regions, "regions")
         hierarchy = write(
             G.flatten_hierarchy(regions) if hierarchy is None else hierarchy, "hierarchy"
         )
-        lexicon = write(G.lexicon(regions, hierarchy), "lexicon")
+        lexicon = write(G.lexicon(regions, hierarchy, aliases), "lexicon")
         guesses = write(G.postal_guesses(G.reverse_postal(regions)), "guesses")
-        phrases = write(lexicon.select("source_id", "phrase").distinct(), "phrases")
-        tables = {"phrases": phrases, "lexicon": lexicon, "guesses": guesses}
+        phrases = write(G.lookup_phrases(lexicon), "phrases")
+        tables = {"phrases": phrases, "lexicon": lexicon, "guesses": guesses, "hierarchy": hierarchy}
         small = frozenset(
             name for name, df in tables.items() if measured_bytes(df) <= max_broadcast_bytes
         )

@@ -17,15 +17,17 @@ execution splits the partitions of popular phrases.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alamatika.functions import constants as K
 from alamatika.functions import scoring as S
 from alamatika.functions import text as T
+from alamatika.operators import matching as M
 from alamatika.operators import resolution as R
 from alamatika.operators.candidates import candidate_id
-from alamatika.operators.matching import greedy, spans
 from alamatika.plans.gazetteer import Gazetteer
 from alamatika.sources import requests as Q
 
@@ -39,75 +41,78 @@ def prepare(
     registry: DataFrame,
     default_source: str = K.DEFAULT_SOURCE,
     max_bytes: int = K.MAX_ADDRESS_BYTES,
+    keep: Sequence[str] = (),
+    refused: bool = False,
 ) -> DataFrame:
-    """Accepted requests with clean text: T1, R11, T2, T9."""
-    requests = requests.select("address_id", "address", "source_code")
-    routed = Q.accepted(Q.route(requests, registry, default_source, max_bytes))
+    """Accepted requests with clean text: T1, R11, T2, T9.
+
+    ``keep``: further columns, as a struct ``kept``. With ``refused`` the other requests stay
+    too, with an empty text and ``refused`` true.
+    """
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    requests = requests.select("address_id", "address", "source_code", *kept)
+    routed = Q.route(requests, registry, default_source, max_bytes)
+    clean = T.normalize(T.strip_html(F.col("address")))
+    rest = ["kept"] if keep else []
+    if refused:
+        good = F.col("reject_reason").isNull()
+        clean = F.when(good, clean).otherwise(F.lit(""))
+        rest.append((~good).alias("refused"))
+    else:
+        routed = Q.accepted(routed)
     return routed.select(
         "address_id",
         F.col("address").alias("raw_input"),
-        T.normalize(T.strip_html(F.col("address"))).alias("normalized"),
+        clean.alias("normalized"),
         "source_id",
         "source_code",
         "source_version",
+        *rest,
     )
 
 
-def _carrier_key() -> Column:
-    # '#' is in no phrase, so the key finds nothing and spreads carriers by address.
-    return F.concat(F.lit("#"), F.col("address_id").cast("string"))
+CARRIED = ("kept", "refused", "times")
 
 
 def choose_phrases(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """M1..M4: one row per address: its text columns and ``chosen`` distinct phrases."""
-    texts = texts.withColumn("copy", F.xxhash64("raw_input", "source_id", "source_code"))
-    payload = F.struct(*[c for c in texts.columns if c not in ("address_id", "copy")])
-    payload_type = texts.select(payload.alias("p")).schema["p"].dataType
-    carrier = F.struct(
-        _carrier_key().alias("phrase"),
-        F.lit(None).cast("int").alias("start"),
-        F.lit(None).cast("int").alias("minus_end"),
-        payload.alias("payload"),
+    """M1..M4: one row per address: its text columns and ``chosen`` distinct phrases.
+
+    A repeated id with the same text is one request, with another text a request of its own.
+    """
+    told_apart = ["raw_input", "source_id", "source_code", *[c for c in texts.columns if c == "kept"]]
+    texts = texts.withColumn("copy", F.xxhash64(*told_apart))
+    return M.chosen_phrases(
+        texts, gazetteer.lookup("phrases", gazetteer.phrases), gazetteer.max_words
     )
 
-    def looked_up(start: Column, end: Column, phrase: Column) -> Column:
-        return F.struct(
-            phrase.alias("phrase"),
-            start.alias("start"),
-            (-end).alias("minus_end"),
-            F.lit(None).cast(payload_type).alias("payload"),
-        )
 
-    rows = texts.withColumn("words", T.words_of(F.col("normalized"))).select(
-        "address_id",
-        "copy",
-        "source_id",
-        F.inline(
-            F.concat(F.array(carrier), spans(F.col("words"), gazetteer.max_words, looked_up))
-        ),
-    )
-    known = gazetteer.phrases.withColumn("known", F.lit(True))
-    hits = rows.join(gazetteer.lookup("phrases", known), ["source_id", "phrase"], "left").where(
-        F.col("known") | F.col("start").isNull()
-    )
-    hit = F.when(F.col("start").isNotNull(), F.struct("start", "minus_end", "phrase"))
-    chosen = F.array_distinct(F.transform(greedy(F.col("hits")), lambda s: s["phrase"]))
-    # A repeated id with the same text is one request, with another text a request of its own.
-    return (
-        hits.groupBy("address_id", "copy")
-        .agg(
-            F.first("payload", ignorenulls=True).alias("p"),
-            F.collect_list(hit).alias("hits"),
-        )
-        .select("address_id", "copy", "p.*", chosen.alias("chosen"))
+def _alias_phrases(entity: Column) -> Column:
+    """Selected phrases of the text that are an alias of the entity."""
+    return F.transform(
+        F.filter("aliased", lambda a: a["entity_id"] == entity), lambda a: a["phrase"]
     )
 
 
-def expand_candidates(chosen: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """C1..C11: per address one carrier row and one row per candidate with its chain."""
-    payload = F.struct("raw_input", "normalized", "source_code", "source_version")
+def expand_candidates(
+    chosen: DataFrame, gazetteer: Gazetteer, with_evidence: bool = False
+) -> DataFrame:
+    """C1..C11: per address one carrier row and one row per candidate with its chain.
+
+    ``with_evidence``: rows also hold ``all_evidence``, the evidence of their text in order.
+
+    With aliases a region that the text names several times is one candidate: found by its
+    own name if that was selected, else by the first of its aliases.
+    """
+    aliased = [c for c in ("aliased",) if c in chosen.columns]
+    evidence = ["all_evidence"] if with_evidence else []
+    if with_evidence:
+        chosen = chosen.withColumn("all_evidence", T.extract_evidence(F.col("normalized")))
+    payload = F.struct(
+        "raw_input", "normalized", "source_code", "source_version",
+        *[c for c in CARRIED if c in chosen.columns],
+    )
     payload_type = chosen.select(payload.alias("p")).schema["p"].dataType
-    carrier = F.struct(_carrier_key().alias("phrase"), payload.alias("payload"))
+    carrier = F.struct(M.carrier_key().alias("phrase"), payload.alias("payload"))
     names = F.transform(
         "chosen",
         lambda p: F.struct(p.alias("phrase"), F.lit(None).cast(payload_type).alias("payload")),
@@ -117,14 +122,24 @@ def expand_candidates(chosen: DataFrame, gazetteer: Gazetteer) -> DataFrame:
         "copy",
         "source_id",
         "chosen",
+        *aliased,
+        *evidence,
         T.first_postal_code(F.col("normalized")).alias("input_code"),
         F.inline(F.concat(F.array(carrier), names)),
     )
     # Only names with a place word root a candidate.
     entities = gazetteer.lexicon.where(F.col("place_words") > 0)
-    return rows.join(gazetteer.lookup("lexicon", entities), ["source_id", "phrase"], "left").where(
+    out = rows.join(gazetteer.lookup("lexicon", entities), ["source_id", "phrase"], "left").where(
         F.col("entity_id").isNotNull() | F.col("payload").isNotNull()
     )
+    if not aliased:
+        return out
+    own = F.coalesce(*[
+        F.when(F.col("level") == level, F.array_contains("chosen", F.col(f"{name}_phrase")))
+        for level, name in LEVEL_NAMES.items()
+    ], F.lit(False))
+    by_alias = ~own & (F.col("phrase") == F.array_min(_alias_phrases(F.col("entity_id"))))
+    return out.where((F.coalesce("origin", F.lit(K.BY_NAME)) == K.BY_NAME) | by_alias)
 
 
 def score_candidates(rows: DataFrame) -> DataFrame:
@@ -137,10 +152,17 @@ def score_candidates(rows: DataFrame) -> DataFrame:
         (F.col("input_code") != "") & (F.col("input_code") == F.col("postal_code")), F.lit(False)
     )
     out = rows.withColumn("same_code", same_code)
+    aliases = "aliased" in rows.columns
     for name in LEVEL_NAMES.values():
         named = F.coalesce(F.array_contains("chosen", F.col(f"{name}_phrase")), F.lit(False))
+        if aliases:  # all selected names of the region: its words count once
+            said = F.concat_ws(" ", F.when(named, F.col(f"{name}_phrase")), _alias_phrases(F.col(f"{name}_id")))
+            out = out.withColumn(f"{name}_said", said)
+            out = out.withColumn(f"{name}_words", F.size(T.place_words(F.col(f"{name}_said"))))
+            named = F.col(f"{name}_words") > 0
         out = out.withColumn(f"{name}_named", named)
     named = {level: F.col(f"{name}_named") for level, name in LEVEL_NAMES.items()}
+    said = "said" if aliases else "phrase"
     matched = dict(named)
     matched[K.SUBDISTRICT] = F.col("subdistrict_named") | F.col("same_code")
     counts = {
@@ -163,8 +185,13 @@ def score_candidates(rows: DataFrame) -> DataFrame:
         S.flat_bonus({level: n >= 2 for level, n in counts.items()}),
     )
     used = F.concat_ws(
-        " ", *[F.when(named[lv], F.col(f"{n}_phrase")) for lv, n in LEVEL_NAMES.items()]
+        " ", *[F.when(named[lv], F.col(f"{n}_{said}")) for lv, n in LEVEL_NAMES.items()]
     )
+    found = [
+        F.col("phrase").alias("matched_name"),
+        F.when(F.col("origin") == K.BY_ALIAS, F.array(*map(F.lit, (*K.STRATEGIES, K.ALIAS_STRATEGY))))
+        .otherwise(F.array(*map(F.lit, K.STRATEGIES))).alias("strategies"),
+    ] if aliases else []
     return out.select(
         "address_id",
         "copy",
@@ -185,6 +212,7 @@ def score_candidates(rows: DataFrame) -> DataFrame:
         "same_code",
         *[f"{n}_id" for n in LEVEL_NAMES.values()],
         "postal_code",
+        *found,
     )
 
 
@@ -206,6 +234,7 @@ def gather(scored: DataFrame) -> DataFrame:
         F.col("confidence").alias("score"),
         "location",
         "reasons",
+        *[c for c in ("matched_name", "strategies") if c in scored.columns],
     )
     # A candidate without a province is ranked but not listed.
     listed = F.when(F.col("province_id").isNotNull(), entry)
@@ -229,7 +258,8 @@ def gather(scored: DataFrame) -> DataFrame:
 
 
 def respond(gathered: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """R2..R9: status, postal fallback and the response columns."""
+    """R2..R9: status, postal fallback and the response columns (then those carried along)."""
+    carried = [c for c in CARRIED if c in gathered.columns]
     has_winner = F.col("top").isNotNull()
 
     # R5 is asked only for addresses without a candidate; other rows get a key of their
@@ -301,6 +331,7 @@ def respond(gathered: DataFrame, gazetteer: Gazetteer) -> DataFrame:
             F.col("source_code").alias("location_source"),
             F.col("source_version").alias("location_version"),
         ).alias("metadata"),
+        *carried,
     ).select(
         "address_id", "status", "confidence", "raw_input", "normalized_input",
         "formatted_address", "location", "assessment",
@@ -308,9 +339,51 @@ def respond(gathered: DataFrame, gazetteer: Gazetteer) -> DataFrame:
             "strategy", F.size("candidates").alias("candidate_count"), "candidates"
         ).alias("resolution"),
         "metadata",
+        *carried,
     )
 
 
+RESPONSE = (
+    "address_id", "status", "confidence", "raw_input", "normalized_input", "formatted_address",
+    "location", "assessment", "resolution", "metadata",
+)
+
+
+def dealt(requests: DataFrame, gazetteer: Gazetteer, partitions: int | None = None) -> DataFrame:
+    """Requests dealt by address where the phrases are broadcast: the one exchange.
+
+    A number of partitions is given because rows grow a lot after it: adaptive execution
+    would merge partitions by their small size here.
+    """
+    if "phrases" not in gazetteer.small:
+        return requests
+    n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(n, "address_id")
+
+
+def answer(
+    requests: DataFrame,
+    gazetteer: Gazetteer,
+    default_source: str = K.DEFAULT_SOURCE,
+    max_bytes: int = K.MAX_ADDRESS_BYTES,
+    partitions: int | None = None,
+    keep: Sequence[str] = (),
+    refused: bool = False,
+) -> DataFrame:
+    """R10 with what a caller knows of its requests: response columns, then ``kept`` (a struct
+    of the columns named by ``keep``), ``refused`` where asked for, and ``times``.
+
+    Requests with other kept values are requests of their own; equal ones are one row, and
+    ``times`` tells how many they were. Nothing is joined back: kept values travel on the
+    carrier row of their text.
+    """
+    columns = dict.fromkeys(("address_id", "address", "source_code", *keep))
+    requests = dealt(requests.select(*columns), gazetteer, partitions)
+    texts = prepare(requests, gazetteer.registry, default_source, max_bytes, keep, refused)
+    scored = score_candidates(expand_candidates(choose_phrases(texts, gazetteer), gazetteer))
+    return respond(gather(scored), gazetteer)
+
+
 def validate(
     requests: DataFrame,
     gazetteer: Gazetteer,
@@ -323,16 +396,7 @@ def validate(
     ``requests``: address_id, address, source_code. Copies of a request (a client's retry)
     are answered once; one id with several texts gets an answer for each. Requests that are
     refused are left out; ``sources.requests.route`` tells why. ``partitions`` of the
-    exchange default to ``spark.sql.shuffle.partitions``.
+    exchange default to ``spark.sql.shuffle.partitions``. With a gazetteer of aliases each
+    listed candidate also tells the ``matched_name`` and its discovery ``strategies``.
     """
-    if "phrases" in gazetteer.small:
-        # The one exchange, on the raw request; everything after keeps this partitioning.
-        # A number is given because rows grow a lot after it: adaptive execution would
-        # merge partitions by their small size here.
-        n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        requests = requests.select("address_id", "address", "source_code").repartition(
-            n, "address_id"
-        )
-    texts = prepare(requests, gazetteer.registry, default_source, max_bytes)
-    scored = score_candidates(expand_candidates(choose_phrases(texts, gazetteer), gazetteer))
-    return respond(gather(scored), gazetteer)
+    return answer(requests, gazetteer, default_source, max_bytes, partitions).select(*RESPONSE)

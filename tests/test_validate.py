@@ -35,7 +35,7 @@ def check(spark, gaz):
 
 def test_goldens(spark, gaz):
     got = check(spark, gaz)
-    assert gaz.small == {"phrases", "lexicon", "guesses"}
+    assert gaz.small == {"phrases", "lexicon", "guesses", "hierarchy"}
     seven = got["7"]
     assert seven.formatted_address == "Citarum, Bandung Wetan, Kota Bandung, Jawa Barat 40115"
     assert seven.resolution.strategy == ["postal_code_inferred"]
