@@ -156,10 +156,13 @@ def score_candidates(rows: DataFrame) -> DataFrame:
     for name in LEVEL_NAMES.values():
         named = F.coalesce(F.array_contains("chosen", F.col(f"{name}_phrase")), F.lit(False))
         if aliases:  # all selected names of the region: its words count once
-            said = F.concat_ws(" ", F.when(named, F.col(f"{name}_phrase")), _alias_phrases(F.col(f"{name}_id")))
-            out = out.withColumn(f"{name}_said", said)
-            out = out.withColumn(f"{name}_words", F.size(T.place_words(F.col(f"{name}_said"))))
-            named = F.col(f"{name}_words") > 0
+            own = F.when(named, F.col(f"{name}_phrase"))
+            out = out.withColumn(f"{name}_also", _alias_phrases(F.col(f"{name}_id")))
+            none = F.size(f"{name}_also") == 0
+            out = out.withColumn(f"{name}_said", F.when(none, own).otherwise(F.concat_ws(" ", own, f"{name}_also")))
+            out = out.withColumn(f"{name}_words", F.when(none, F.col(f"{name}_words")).otherwise(
+                F.size(T.place_words(F.col(f"{name}_said")))))
+            named = named | ~none
         out = out.withColumn(f"{name}_named", named)
     named = {level: F.col(f"{name}_named") for level, name in LEVEL_NAMES.items()}
     said = "said" if aliases else "phrase"

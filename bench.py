@@ -22,7 +22,8 @@ from alamatika.plans.gazetteer import Gazetteer  # noqa: E402
 HEADLINE = (
     "validate", "accuracy_flags", "normalize_text", "sanitize_html", "evidence",
     "phrase_greedy", "conflicts", "confidence", "hierarchy_flatten", "postal_infer",
-    "rank", "evaluate_candidates", "conclude", "resolve_evidence", "lexicon",
+    "rank", "evaluate_candidates", "conclude", "resolve_evidence", "lexicon", "ambiguity",
+    "accuracy_rollup", "alias_validate",
 )
 
 
