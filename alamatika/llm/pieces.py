@@ -22,6 +22,7 @@ files here have none.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,12 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from alamatika.llm.batches import tidy
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
+BROKEN = re.compile("[\udc80-\udcff]")
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KNOWN_STRETCHES = 300_000  # stretches and pairs remembered from batch to batch
+KNOWN_STRETCHES = 300_000  # stretches remembered from batch to batch
 INDEX_CHARS = 200_000  # characters indexed at once (or one longer stretch)
 BATCH_CHARS = 1_000_000  # characters of a batch beyond which it is cut between texts
 
@@ -88,15 +92,14 @@ class Model:
         self.trim = bool(norm.get(4, 1))
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = np.isin(self.kinds, (UNKNOWN, CONTROL, BYTE))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
         self.kind = train.get(3, UNIGRAM)
-        self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def forget(self) -> None:
         """Drop what was remembered from batch to batch."""
-        self.apart.clear()
         self.known.clear()
 
 
@@ -113,11 +116,14 @@ class Encoder(Model):
         letters = sorted({ord(c) for p in self.ids for c in p})
         self.letter = np.zeros(0x110000, dtype=np.int16)
         self.letter[letters] = np.arange(1, len(letters) + 1)
-        self.in_a_row = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+        # One bit for each pair of letters that some piece has in a row.
+        self.n_letters = len(letters) + 1
+        in_a_row = np.zeros(self.n_letters**2, dtype=bool)
         for p in self.ids:
-            row = self.letter[list(map(ord, p))]
-            self.in_a_row[row[:-1], row[1:]] = True
-        usable = [p for p in self.ids if not self.bpe or len(p) == 1 or self.merge(p) == [p]]
+            row = self.letter[list(map(ord, p))].astype(np.int64)
+            in_a_row[row[:-1] * self.n_letters + row[1:]] = True
+        self.in_a_row = np.packbits(in_a_row, bitorder="little")
+        usable = self._index_merges() if self.bpe else list(self.ids)
         self.longest = max(map(len, usable), default=1)
         codes = np.zeros((len(usable), self.longest), dtype=np.uint32)
         for row, p in enumerate(usable):
@@ -134,11 +140,13 @@ class Encoder(Model):
             return ""
         return (BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK)
 
-    def merge(self, text: str) -> list[str]:
-        """Plain merging of a short text: the best pair first, leftmost of equals."""
+    def merge(self, text: str, until: int = 1) -> list[str]:
+        """Plain merging of a short text, down to ``until`` parts if it comes so far: the best
+        pair first, leftmost of equals.
+        """
         parts = list(text)
         rank = self.rank
-        while True:
+        while len(parts) > until:
             best, at = min(
                 ((rank.get(a + b, np.inf), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))),
                 default=(np.inf, 0),
@@ -146,19 +154,64 @@ class Encoder(Model):
             if best == np.inf:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _index_merges(self) -> list[str]:
+        """Pieces that merging makes, with the two parts each is made of last, and the rank at
+        which any two pieces would merge.
+        """
+        ranks = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        n = len(self.pieces)
+        self.place = np.full(n, -1, dtype=np.int64)  # when a piece is formed; letters are there
+        self.parts = np.full((n, 2), -1, dtype=np.int64)
+        usable, pairs = [], {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                left, right = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if left is not None and right is not None:
+                    pairs[left * n + right] = ranks[self.rank[p]]
+            if len(p) == 1:
+                usable.append(p)
+                continue
+            parts = self.merge(p, 2)
+            if len(parts) == 2:
+                usable.append(p)
+                self.place[i] = ranks[self.rank[p]]
+                self.parts[i] = [self.ids.get(x, -1) for x in parts]
+        self.pair_codes = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_ranks = np.array([pairs[c] for c in self.pair_codes.tolist()], dtype=np.int64)
+        return usable
 
     def stays_apart(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether pieces stay apart when merged, for pairs coded left * size + right."""
-        size = len(self.pieces)
+        """Whether pieces stay apart when merged, for pairs coded left * size + right.
+
+        Their merging is followed back in time: the two parts that meet at the border must
+        not merge before either becomes part of its piece. Of equal ranks the left one is
+        first. Then the part formed last is undone, until letters meet. A letter that is no
+        piece merges with nothing.
+        """
+        size, forever = len(self.pieces), np.iinfo(np.int64).max
         codes, back = np.unique(pairs, return_inverse=True)
-        found = np.empty(len(codes), dtype=bool)
-        for k, code in enumerate(codes.tolist()):
-            known = self.apart.get(code)
-            if known is None:
-                a, b = (self.pieces[x] for x in divmod(code, size))
-                known = self.apart[code] = self.merge(a + b) == [a, b]
-            found[k] = known
-        return found[back]
+        left, right = codes // size, codes % size
+        limit = np.full(len(codes), forever)
+        apart = np.ones(len(codes), dtype=bool)
+        live = np.arange(len(codes))
+        while len(live):
+            a, b = left[live], right[live]
+            code = a * size + b
+            at = np.minimum(np.searchsorted(self.pair_codes, code), max(0, len(self.pair_codes) - 1))
+            merged = np.zeros(len(live), dtype=bool)
+            if len(self.pair_codes):
+                merged = (self.pair_codes[at] == code) & (self.pair_ranks[at] < limit[live])
+            apart[live[merged]] = False
+            formed_a, formed_b = self.place[a], self.place[b]
+            undo_a = formed_a > formed_b
+            left[live] = np.where(undo_a, self.parts[a, 1], a)
+            right[live] = np.where(undo_a, b, self.parts[b, 0])
+            limit[live] = np.where(undo_a, formed_a, formed_b + 1)
+            letters = (formed_a < 0) & (formed_b < 0)
+            live = live[~merged & ~letters & (left[live] >= 0) & (right[live] >= 0)]
+        return apart[back]
 
 
 @lru_cache(maxsize=2)
@@ -313,7 +366,9 @@ def _with_unknowns(text: str, ids: list[int], model: Model) -> bytes:
 def _stretches(text: str, model: Encoder) -> list[str]:
     """A normalised text, cut where no piece can cross."""
     letter = model.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    cuts = (np.flatnonzero(~model.in_a_row[letter[:-1], letter[1:]]) + 1).tolist()
+    pair = letter[:-1].astype(np.int64) * model.n_letters + letter[1:]
+    joined = (model.in_a_row[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1
+    cuts = (np.flatnonzero(joined == 0) + 1).tolist()
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if text else []
 
 
@@ -322,8 +377,6 @@ def encode_texts(texts: list[str | None], model: Encoder) -> list[np.ndarray | N
     known = model.known
     if len(known) > KNOWN_STRETCHES:
         known.clear()
-    if len(model.apart) > KNOWN_STRETCHES:
-        model.apart.clear()
     own = [None if t is None else _stretches(model.normal(t), model) for t in texts]
     new = list(set().union(*(x for x in own if x)) - known.keys())
     ends = np.cumsum([len(x) + 1 for x in new])
@@ -344,31 +397,30 @@ def decode_ids(ids: np.ndarray | None, model: Model) -> str | None:
     if ids is None:
         return None
     out, at = [], 0
-    for k in np.flatnonzero(model.special[ids]).tolist():
-        out += map(model.pieces.__getitem__, ids[at:k].tolist())
-        out.append(int(ids[k]))
-        at = k + 1
+    special = np.flatnonzero(model.special[ids])
+    if len(special):  # runs of special pieces among the others
+        first = np.flatnonzero(np.diff(special, prepend=-2) != 1)
+        for begin, end in zip(special[first].tolist(), special[[*(first[1:] - 1), -1]].tolist()):
+            out += map(model.pieces.__getitem__, ids[at:begin].tolist())
+            out += _special_text(ids[begin : end + 1].tolist(), model)
+            at = end + 1
     out += map(model.pieces.__getitem__, ids[at:].tolist())
-    if at:
-        out = _special_text(out, model)
     text = "".join(out).replace(BLANK, " ")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
-def _special_text(parts: list[str | int], model: Model) -> list[str]:
-    """Bytes, unknown and control pieces (numbers) among texts, as text."""
-    value = {i: b for b, i in model.bytes.items()}
+def _special_text(ids: list[int], model: Model) -> list[str]:
+    """Text of a run of byte, unknown and control pieces."""
     out, run = [], bytearray()
-    for part in [*parts, ""]:
-        if part in value:
-            run.append(value[part])
+    for i in [*ids, None]:
+        if i in model.byte_of:
+            run.append(model.byte_of[i])
             continue
         if run:
-            out.append(run.decode("utf-8", "replace"))
+            # Every byte of what is no character shows as one replacement character.
+            out.append(BROKEN.sub("\ufffd", run.decode("utf-8", "surrogateescape")))
             run = bytearray()
-        if isinstance(part, str):
-            out.append(part)
-        elif model.kinds[part] == UNKNOWN:
+        if i is not None and model.kinds[i] == UNKNOWN:
             out.append(" \u2047 ")
     return out
 
@@ -397,7 +449,7 @@ def _mapped(df: DataFrame, vocabulary: str, kind: type[Model], schema: str, chan
             model.forget()  # workers outlive their task and may wait beside others
 
     id_type = df.schema["address_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"address_id {id_type}, {schema}")
+    return df.mapInArrow(tidy(run), f"address_id {id_type}, {schema}")
 
 
 def encode_requests(requests: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

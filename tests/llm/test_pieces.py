@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -82,3 +83,30 @@ def test_unigram_takes_the_best_path(crossing):
         assert "".join(pieces) == normal.replace("e", "")
         known = sum(model.scores[i] for i in ids if i)
         assert known == pytest.approx(sum(model.scores[model.ids[p]] for p in best[len(normal)][1] if p != "?"))
+
+
+def test_border_verdicts_equal_plain_merging():
+    with open(P.VOCABULARY, "rb") as f:
+        model = P.Encoder(f.read())
+    rng = random.Random(8)
+    usable = [model.pieces[i] for i in model.edge_ids.tolist()]
+    pairs = [(rng.choice(usable), rng.choice(usable)) for _ in range(6000)]
+    for p in rng.sample(usable, 6000):  # halves of a piece often merge
+        k = rng.randrange(len(p))
+        if p[:k] in model.ids and p[k:] in model.ids and {p[:k], p[k:]} <= set(usable):
+            pairs.append((p[:k], p[k:]))
+    size = len(model.pieces)
+    got = model.stays_apart(np.array([model.ids[a] * size + model.ids[b] for a, b in pairs]))
+    assert got.tolist() == [model.merge(a + b) == [a, b] for a, b in pairs]
+    assert 0 < got.sum() < len(pairs)
+
+
+def test_special_pieces_among_others():
+    with open(P.VOCABULARY, "rb") as f:
+        model = P.Model(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=P.VOCABULARY)
+    rng = random.Random(9)
+    special = [i for i, k in enumerate(model.kinds) if k in (P.BYTE, P.UNKNOWN, P.CONTROL)]
+    for _ in range(200):
+        ids = [rng.choice(special) if rng.random() < 0.5 else rng.randrange(len(model.pieces)) for _ in range(rng.randrange(1, 30))]
+        assert P.decode_ids(np.array(ids), model).lstrip() == library.decode(ids).lstrip(), ids
