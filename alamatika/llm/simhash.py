@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alamatika.llm.batches import text_slices
+from alamatika.llm.batches import text_slices, tidy
 from alamatika.operators.bounded import broadcast_if_small
 from alamatika.plans.gazetteer import written
 
@@ -38,6 +38,7 @@ SHINGLE = 3
 MAX_BITS = 3
 MAX_GROUP = 4096  # distinct fingerprints verified together in one task
 SMALL_KEYS = 16 << 20  # measured bytes up to which shared keys are broadcast
+TASK_ROWS = 1 << 15  # distinct fingerprints keyed in one task
 LANE_ROWS = 255  # hashes added up in eight-bit lanes before they are widened
 
 _BYTE_LANES = np.unpackbits(
@@ -100,7 +101,7 @@ def fingerprint_requests(requests: DataFrame) -> DataFrame:
             )
 
     return requests.select("address_id", "raw_input").mapInArrow(
-        batches, f"address_id {id_type}, fp bigint"
+        tidy(batches), f"address_id {id_type}, fp bigint"
     )
 
 
@@ -167,6 +168,9 @@ def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` that connect exactly what pairs
     within ``MAX_BITS`` bits connect.
     """
+    # Dealt out by number first: each row becomes 66.
+    tasks = max(1, -(-prints.count() // TASK_ROWS))
+    prints = prints.repartition(tasks, "fp")
     keyed = prints.select("fp", F.explode(_variants()).alias("k")).select(
         "fp", F.struct("k.slot", "k.value").alias("key"), "k.side"
     )
@@ -188,7 +192,7 @@ def links(prints: DataFrame) -> DataFrame:
         grouped = members.where(F.col("n") <= MAX_GROUP).groupBy("key").agg(
             F.collect_list(F.struct("fp", "side")).alias("members")
         )
-        found.append(grouped.select("members").mapInArrow(_group_links, "a bigint, b bigint"))
+        found.append(grouped.select("members").mapInArrow(tidy(_group_links), "a bigint, b bigint"))
         if largest <= MAX_GROUP:
             break
         keyed = written(_cut(members.where(F.col("n") > MAX_GROUP), depth), "wide")
@@ -288,20 +292,31 @@ def near_duplicates(requests: DataFrame) -> DataFrame:
 
 
 def drop_copies(rows: DataFrame, id_column: str = "address_id", text_column: str = "raw_input") -> DataFrame:
-    """The rows, with all their columns, that stand for their component: those of its
-    smallest id, once. Rows with a null id cannot be named and stay.
+    """The rows, with all their columns, that stand for their component: one row each.
+
+    A row is told by its id and its text, so texts that share an id (or have none) are
+    decided one by one. The row of the smallest id stays (an id before none, then by the
+    text's hash); of rows that repeat in id and text, one.
     """
-    named = near_duplicates(
-        rows.select(F.col(id_column).alias("address_id"), F.col(text_column).alias("raw_input"))
-    )
-    ids = named.where("address_id IS NOT NULL").groupBy("address_id").agg(
-        F.count("*").alias("n"), F.min("component_id").alias("first")
+    number, copy = F.col(id_column), F.xxhash64(F.col(text_column)).alias("copy")
+    named = near_duplicates(rows.select(
+        F.struct(number.isNull().alias("no_id"), number.alias("id"), copy).alias("address_id"),
+        F.col(text_column).alias("raw_input"),
+    ))
+    met = written(
+        named.groupBy("address_id").agg(F.count("*").alias("n"), F.min("component_id").alias("first")), "met"
     )
-    ids = written(ids, "ids")
-    gone = ids.where("address_id <> first").select(F.col("address_id").alias(id_column))
-    kept = rows.join(gone, id_column, "left_anti").select(*rows.columns)
-    if ids.where("n > 1 AND address_id = first").isEmpty():
+
+    def only(keys: DataFrame, kind: str, of: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("address_id.id").alias("_id"), F.col("address_id.copy").alias("_copy"))
+        same = of[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(of[text_column]) == F.col("_copy"))
+        return of.join(keys, same, kind)
+
+    kept = only(met.where("address_id <> first"), "left_anti", rows)
+    repeated = met.where("n > 1 AND address_id = first")
+    if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_column).isNull()).unionByName(
-        kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-    )
+    # Rows that repeat in full are few keys: only they are dealt out to be told apart.
+    again = only(repeated, "left_semi", kept).withColumn("_copy_of", F.xxhash64(text_column))
+    once = again.dropDuplicates([id_column, "_copy_of"]).drop("_copy_of")
+    return only(repeated, "left_anti", kept).unionByName(once)

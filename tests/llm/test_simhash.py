@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -92,3 +93,36 @@ def test_empty_nulls_and_repeats(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, None), (3, "")]
     got = S.near_duplicates(spark.createDataFrame(rows, "address_id long, raw_input string")).collect()
     assert sorted((r["address_id"] or 0, r["component_id"]) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 2), (3, 2)]
+
+
+def test_no_text_is_lost_where_ids_repeat(spark):
+    """One row stays of each component, told by id and text; checked against plain pairs."""
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(80)) for _ in range(12)]
+    rows = [(1, "A A A A", 0), (5, "A A A A", 1), (5, "B is another text", 2)]
+    rows += [(rng.choice([None, *range(20)]), rng.choice([*base, None, ""]), n) for n in range(3, 120)]
+    rows += [(7, base[0], n) for n in range(200, 260)] + [(None, base[1], 300), (None, base[1], 301)]
+    df = spark.createDataFrame(rows, "address_id long, raw_input string, copy int").repartition(4)
+    kept = S.drop_copies(df).collect()
+
+    def fp(text):
+        hashes = np.array(S.shingle_hashes(text), dtype=np.uint64)
+        return int(S.fingerprints(hashes, np.array([len(hashes)]))[0])
+
+    texts = list({t for _, t, _ in rows})
+    group = {t: {t} for t in texts}
+    for a in texts:
+        for b in texts:
+            if (fp(a) ^ fp(b)).bit_count() <= S.MAX_BITS and group[a] is not group[b]:
+                group[a] |= group[b]
+                for t in group[a]:
+                    group[t] = group[a]
+    components = {id(g): g for g in group.values()}.values()
+    assert len(kept) == len(components)
+    for members in components:
+        (row,) = [r for r in kept if r["raw_input"] in members]
+        ids = [i for i, t, _ in rows if t in members and i is not None]
+        assert row["address_id"] == (min(ids) if ids else None)
+        assert tuple(row) in {tuple(r) for r in rows}
+    assert {"A A A A", "B is another text"} <= {r["raw_input"] for r in kept}
+    assert S.drop_copies(df.limit(0)).count() == 0
