@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alamatika.llm.batches import tidy
 from alamatika.plans.gazetteer import written
 
 PHRASE_WORDS = 10
@@ -307,7 +308,7 @@ def _search(requests: DataFrame, phrases: Phrases) -> DataFrame:
             )
 
     return requests.select("address_id", "raw_input").mapInArrow(
-        run,
+        tidy(run),
         f"address_id {id_type}, n_words bigint, "
         "spans array<struct<begin:int,end:int>>, label_ids array<string>",
     )
@@ -422,7 +423,7 @@ def remove_leaks(rows: DataFrame, labels: DataFrame, text_column: str = "raw_inp
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        return rows.mapInArrow(remover(Phrases(first)), schema)
+        return rows.mapInArrow(tidy(remover(Phrases(first))), schema)
     return _remove_blocks(rows, labels, text_column, itertools.chain([first, second], blocks))
 
 
@@ -437,7 +438,7 @@ def _cut(hit: DataFrame) -> DataFrame:
                 [part.column("row"), pa.array(texts, pa.string())], ["row", "raw_input"]
             )
 
-    return hit.select("row", "raw_input", "spans").mapInArrow(run, "row bigint, raw_input string")
+    return hit.select("row", "raw_input", "spans").mapInArrow(tidy(run), "row bigint, raw_input string")
 
 
 def _remove_blocks(

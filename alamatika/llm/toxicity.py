@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alamatika.llm.batches import text_slices
+from alamatika.llm.batches import text_slices, tidy
 
 MAX_TRAINING = 10_000  # rows of each kind a model is trained on, chosen by a hash of the id
 MAX_FEATURES = 2_000
@@ -75,7 +75,7 @@ def _word_sets(requests: DataFrame) -> DataFrame:
             )
 
     return requests.select("address_id", "raw_input").mapInArrow(
-        run, f"address_id {id_type}, words array<string>"
+        tidy(run), f"address_id {id_type}, words array<string>"
     )
 
 
@@ -93,7 +93,7 @@ def _numbered(sets: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]
                 [part.column("positive"), pa.array(found, pa.binary())], ["positive", "found"]
             )
 
-    rows = sets.mapInArrow(run, "positive int, found binary").toLocalIterator()
+    rows = sets.mapInArrow(tidy(run), "positive int, found binary").toLocalIterator()
     return [(r["positive"], np.frombuffer(r["found"], "<i4")) for r in rows]
 
 
@@ -199,7 +199,7 @@ def score_requests(requests: DataFrame, model: Model) -> DataFrame:
                 [part.column("address_id"), pa.array(scores, pa.float64())], ["address_id", "score"]
             )
 
-    return requests.select("address_id", "raw_input").mapInArrow(run, f"address_id {id_type}, score double")
+    return requests.select("address_id", "raw_input").mapInArrow(tidy(run), f"address_id {id_type}, score double")
 
 
 def drop_toxic(rows: DataFrame, model: Model, text_column: str = "raw_input") -> DataFrame:
@@ -210,4 +210,4 @@ def drop_toxic(rows: DataFrame, model: Model, text_column: str = "raw_input") ->
             texts = part.column(part.schema.get_field_index(text_column))
             yield part.filter(pa.array([model.score(t.as_py()) < TOXIC_FROM for t in texts], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
