@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns
 the columns of ``documents``; the last one returns piece ids and the text they decode to.
-Texts that change get a new ``n_chars``; further columns pass through untouched.
+Texts that change get a new ``n_chars``; further columns pass through untouched, but a column
+``ids`` is replaced by the piece ids of the last stage.
 """
 
 from __future__ import annotations
