@@ -1,20 +1,28 @@
 """Personal data in request texts: fixed patterns, then bootstrapped contexts.
 
 Base entities (e-mail, IP, card, phone) are matched by regular expressions, leftmost and
-without overlap per kind. They are the seeds of a bootstrap: the word before an entity is
-a lexical pattern; patterns and instances (identifier-like words: at least four digits or
-an @) form a graph that Spark scores in rounds. A pattern's confidence for a kind is the
-share of its instances known to be of that kind; patterns with at least ``MIN_SEEDS``
-different known instances and ``MIN_CONFIDENCE`` are accepted, their other instances become
-known, and these induce patterns in the next round. Instances behind accepted patterns that
-overlap no base entity are reported with the pattern's kind.
+without overlap per kind. They are the seeds of a bootstrap. An entity induces lexical
+patterns: the word before it, the two words before it, the word after it. Patterns and
+instances (identifier-like words: at least four digits or an @) form a graph that Spark
+scores in rounds. A pattern's confidence for a kind is the share of its different instances
+known to be of that kind; patterns with at least ``MIN_SEEDS`` of them and
+``MIN_CONFIDENCE`` are accepted, their other instances become known, and these induce
+patterns in the next round. Accepted patterns and known instances stay so, and the bootstrap
+ends with the first round that accepts none. Instances of accepted patterns that overlap no
+base entity are reported with the pattern's kind.
+
+Words are read from the text around a match, whatever they hold, but only where they stand
+complete within ``CONTEXT`` characters of it: a longer word is no context.
 
 Built-in expressions only. Counting is per distinct instance and combined before it is
-shuffled, so a word before a third of all numbers is one row per task.
+shuffled, so a word before a third of all numbers is one row per task. Up to
+``PLAN_PATTERNS`` accepted patterns are handed to the rows as literals; more are joined, and
+their spans go back to the rows by a lookup that spreads copies of a text.
 
 Cases: a null text is empty and has no spans; repeated rows and ids are rows of their own
 (copies of a text count once in the graph); an empty table stays empty; further columns are
-ignored. A word that ties between kinds takes the first in the order of ``KINDS``.
+ignored. A pattern that ties between kinds takes the first in the order of ``KINDS``, as does
+an instance of patterns of several kinds.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alamatika.operators.bounded import COPIES
 from alamatika.plans.gazetteer import written
 
 # Kinds in their order, and what each looks like. Quantifiers are possessive and
@@ -40,11 +49,11 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_VALID = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 CANDIDATE = r"(?<!\S)(?=\S*+)[^\s0-9@]*+[0-9@]\S*+"
 MIN_DIGITS = 4
-MIN_SEEDS = 5
+MIN_SEEDS = 8
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
-CONTEXT = 80  # characters before an entity that are searched for its last word
-SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
+CONTEXT = 160  # characters on either side of an entity that are searched for whole words
+PLAN_PATTERNS = 5_000  # accepted patterns that rows are compared with as literals
+SPAN = "array<struct<start:int,end:int,value:string,patterns:array<string>>>"
 
 
 def _digits(m: Column) -> Column:
@@ -72,31 +81,73 @@ def _valid(kind: str) -> Callable[[Column], Column]:
     return lambda m: F.lit(True)
 
 
+def _patterns(before: Column, after: Column) -> Column:
+    """Lexical patterns of a place, given the text on either side: ``w _``, ``v w _``, ``_ w``.
+
+    A word that begins or ends at the edge of what is given may be cut and does not count.
+    """
+    one = F.lower(F.regexp_extract(before, r"(?<=\s)(\S++)\s*+$", 1))
+    two = F.lower(F.regexp_extract(before, r"(?<=\s)(\S++)\s++\S++\s*+$", 1))
+    right = F.lower(F.regexp_extract(after, r"^\s*+(\S++)(?=\s)", 1))
+    return F.filter(
+        F.array(
+            F.when(one != "", F.concat(one, F.lit(" _"))),
+            F.when(two != "", F.concat_ws(" ", two, one, F.lit("_"))),
+            F.when(right != "", F.concat(F.lit("_ "), right)),
+        ),
+        lambda p: p.isNotNull(),
+    )
+
+
 def find(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
-    """Valid matches as (start, end, value, left): code points, and the word before.
+    """Valid matches as (start, end, value, patterns), in code points.
 
-    The pieces between matches give their places; one fold adds up the lengths.
+    The pieces between matches give their places; one fold from the right hands each match
+    the text after it, one from the left adds up lengths and hands on the text before.
     """
     pairs = F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, m: F.struct(
-            F.char_length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), m.alias("m")
+            F.char_length(gap).alias("gap"), F.left(gap, F.lit(CONTEXT)).alias("first"),
+            F.right(gap, F.lit(CONTEXT)).alias("last"), m.alias("m"),
         ),
     )
 
-    def step(done: Column, p: Column) -> Column:
+    def ahead(done: Column, p: Column) -> Column:
+        piece = F.concat(p["first"], F.left(F.coalesce(p["m"], F.lit("")), F.lit(CONTEXT)), done["head"])
+        return F.struct(
+            F.when(p["gap"] > CONTEXT, p["first"]).otherwise(F.left(piece, F.lit(CONTEXT))).alias("head"),
+            F.concat(done["heads"], F.array(done["head"])).alias("heads"),
+        )
+
+    # The ends of a text end a word.
+    right = F.struct(F.lit("\n").alias("head"), F.array().cast("array<string>").alias("heads"))
+
+    def step(done: Column, both: Column) -> Column:
+        p = both["p"]
         start = done["at"] + p["gap"]
         end = start + F.coalesce(F.char_length(p["m"]), F.lit(0))
-        left = F.lower(F.regexp_extract(p["before"], r"(?<!\S)(\S++)\s*+$", 1))
-        span = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("value"), left.alias("left"))
+        before = F.right(F.concat(done["tail"], p["last"]), F.lit(CONTEXT))
+        span = F.struct(
+            start.alias("start"), end.alias("end"), p["m"].alias("value"),
+            _patterns(before, both["head"]).alias("patterns"),
+        )
         return F.struct(
             end.alias("at"),
+            F.right(F.concat(before, F.right(F.coalesce(p["m"], F.lit("")), F.lit(CONTEXT))), F.lit(CONTEXT)).alias("tail"),
             F.when(p["m"].isNotNull() & valid(p["m"]), F.concat(done["spans"], F.array(span)))
             .otherwise(done["spans"]).alias("spans"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(pairs, start, step, lambda done: done["spans"])
+    left = F.struct(F.lit(0).alias("at"), F.lit("\n").alias("tail"), F.array().cast(SPAN).alias("spans"))
+
+    def spans(pairs: Column) -> Column:
+        heads = F.aggregate(F.reverse(pairs), right, ahead, lambda done: F.reverse(done["heads"]))
+        both = F.zip_with(pairs, heads, lambda p, head: F.struct(p.alias("p"), head.alias("head")))
+        return F.aggregate(both, left, step, lambda done: done["spans"])
+
+    # Bound as a variable, the pieces are cut once though both folds read them.
+    return F.get(F.transform(F.array(pairs), spans), F.lit(0))
 
 
 def _guarded(text: Column, sign: str, spans: Column) -> Column:
@@ -133,49 +184,93 @@ def base_entities(requests: DataFrame) -> DataFrame:
 
 def _instances(column: str, kind: Column) -> Column:
     return F.transform(column, lambda s: F.struct(
-        s["left"].alias("left"), s["value"].alias("value"), kind.alias("kind")
+        s["patterns"].alias("patterns"), s["value"].alias("value"), kind.alias("kind")
     ))
 
 
-def score_patterns(entities: DataFrame) -> DataFrame:
-    """Accepted patterns (left, kind, confidence) after all rounds."""
+def _rank(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1
+
+
+def pattern_graph(entities: DataFrame) -> DataFrame:
+    """Edges (pattern, value, kind) of all texts, each once; kind is null for candidates."""
     both = F.concat(
         *[_instances(kind, F.lit(kind)) for kind in KINDS],
         _instances("candidates", F.lit(None).cast("string")),
     )
-    graph = written(
-        entities.where(F.size(both) > 0).select(F.explode(both).alias("e")).select("e.*")
-        .where("left <> ''").distinct(), "graph",
+    edges = entities.where(F.size(both) > 0).select(F.explode(both).alias("e")).select(
+        F.explode("e.patterns").alias("pattern"), "e.value", "e.kind"
     )
-    order = F.array(*map(F.lit, KINDS))
+    return edges.distinct()
+
+
+def score_patterns(graph: DataFrame) -> DataFrame:
+    """Accepted patterns (pattern, kind, confidence) once no round accepts another; the
+    confidence is that of the round which accepted it.
+    """
+    graph = written(graph, "graph")
     accepted = None
-    for _ in range(ROUNDS):
+    while True:
         if accepted is None:
             known = graph
         else:
-            # What accepted patterns stand before is known from now on, wherever it stands.
-            kinds = graph.where("kind IS NULL").join(accepted.select("left", F.col("kind").alias("new")), "left").groupBy("value").agg(
-                F.min_by("new", F.array_position(order, F.col("new"))).alias("new")
-            )
+            # What accepted patterns stand beside is known from now on, wherever it stands.
+            kinds = graph.where("kind IS NULL").join(
+                accepted.select("pattern", F.col("kind").alias("new")), "pattern"
+            ).groupBy("value").agg(F.min_by("new", _rank(F.col("new"))).alias("new"))
             known = graph.join(kinds, "value", "left").select(
-                "left", "value", F.coalesce("kind", "new").alias("kind")
+                "pattern", "value", F.coalesce("kind", "new").alias("kind")
             )
-        counts = known.groupBy("left", "kind").agg(F.count("*").alias("n"))
-        scored = counts.groupBy("left").agg(
+        counts = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        scored = counts.groupBy("pattern").agg(
             F.sum("n").alias("total"),
             F.max(F.when(F.col("kind").isNotNull(), F.struct(
-                F.col("n"), (-F.array_position(order, F.col("kind"))).alias("first"), F.col("kind")
+                F.col("n"), (-_rank(F.col("kind"))).alias("first"), F.col("kind")
             ))).alias("best"),
         ).where(F.col("best.n") >= MIN_SEEDS)
         confidence = F.col("best.n") / F.col("total")
-        now = written(
-            scored.where(confidence >= MIN_CONFIDENCE)
-            .select("left", F.col("best.kind").alias("kind"), confidence.alias("confidence")), "patterns",
+        now = scored.where(confidence >= MIN_CONFIDENCE).select(
+            "pattern", F.col("best.kind").alias("kind"), confidence.alias("confidence")
         )
-        if accepted is not None and now.count() == accepted.count():
-            return now
+        if accepted is not None:
+            now = accepted.unionByName(now.join(accepted, "pattern", "left_anti"))
+        now = written(now, "patterns")
+        before = 0 if accepted is None else accepted.count()
         accepted = now
-    return accepted
+        if now.count() == before:
+            return accepted
+
+
+def _discovered(entities: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Entities with ``more``: the candidates beside accepted patterns, as (rank, start, end)."""
+    few = patterns.select("pattern", "kind").limit(PLAN_PATTERNS + 1).collect()
+    if len(few) <= PLAN_PATTERNS:
+        mine = [[r["pattern"] for r in few if r["kind"] == kind] for kind in KINDS]
+
+        def rank(c: Column) -> Column:
+            beside = lambda words: F.exists(c["patterns"], lambda p: p.isin(words))
+            return F.coalesce(*[
+                F.when(beside(words), F.lit(k)) for k, words in enumerate(mine) if words
+            ], F.lit(None).cast("int"))
+
+        ranked = F.transform("candidates", lambda c: F.struct(
+            rank(c).alias("rank"), c["start"].alias("start"), c["end"].alias("end")
+        ))
+        return entities.withColumn("more", F.filter(ranked, lambda c: c["rank"].isNotNull()))
+    found = entities.where(F.size("candidates") > 0).select("text_key", F.explode("candidates").alias("c")).select(
+        "text_key", "c.start", "c.end", F.explode("c.patterns").alias("pattern")
+    ).join(patterns.select("pattern", "kind"), "pattern").groupBy("text_key", "start", "end").agg(
+        F.min(_rank(F.col("kind"))).alias("rank")
+    ).groupBy("text_key").agg(F.collect_list(F.struct("rank", "start", "end")).alias("more"))
+    # Every text found comes in COPIES copies and rows take one of them, whichever it is.
+    found = written(found, "found").select(
+        F.col("text_key").alias("found_key"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"),
+        F.col("more").alias("spans_found"),
+    )
+    none = F.array().cast("array<struct<rank:int,start:int,end:int>>")
+    dealt = entities.withColumn("turn", (F.monotonically_increasing_id() % COPIES).cast("int"))
+    same = (F.col("text_key") == F.col("found_key")) & (F.col("turn") == F.col("copy"))
+    return dealt.join(found, same, "left").withColumn("more", F.coalesce("spans_found", none))
 
 
 def find_entities(requests: DataFrame) -> DataFrame:
@@ -183,30 +278,15 @@ def find_entities(requests: DataFrame) -> DataFrame:
     base and discovered entities as (kind, start, end), by kind in order, then start.
     """
     entities = base_entities(requests)
-    patterns = score_patterns(entities)
-    found = written(
-        entities.where(F.size("candidates") > 0)
-        .select("text_key", F.explode("candidates").alias("c"))
-        .join(patterns.select(F.col("left").alias("word"), "kind"), F.col("c.left") == F.col("word"))
-        .groupBy("text_key")
-        .agg(F.collect_set(F.struct("kind", "c.start", "c.end")).alias("discovered")), "found",
-    )
+    patterns = score_patterns(pattern_graph(entities))
     ranked = lambda kind, spans: F.transform(spans, lambda s: F.struct(
         F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end")
     ))
-    order = F.array(*map(F.lit, KINDS))
-    more = F.transform(
-        F.coalesce("discovered", F.array().cast("array<struct<kind:string,start:int,end:int>>")),
-        lambda s: F.struct(
-            (F.array_position(order, s["kind"]).cast("int") - 1).alias("rank"),
-            s["start"].alias("start"), s["end"].alias("end"),
-        ),
-    )
-    spans = F.array_sort(F.concat(*[ranked(k, F.col(k)) for k in KINDS], more))
-    return entities.join(found, "text_key", "left").select(
+    spans = F.array_sort(F.concat(*[ranked(k, F.col(k)) for k in KINDS], F.col("more")))
+    return _discovered(entities, patterns).select(
         "address_id", "raw_input", *KINDS,
         F.transform(spans, lambda s: F.struct(
-            F.get(order, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")
+            F.get(F.array(*map(F.lit, KINDS)), s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")
         )).alias("spans"),
     )
 
