@@ -1,20 +1,23 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from ancestor folders.
 
 The project has no table of files, so the operator is general: files are rows (path,
-content). The licence text of a file is its lines that speak of a licence (all lines, if
-its name is that of a licence file). Templates are statements, and the complete texts in
-``licence_texts`` for Apache-2.0, BSD-3-Clause, GPL-3.0, MIT and MPL-2.0; there is none for
-the CC licences, whose complete texts stay without a licence. Distinct licence texts become sparse TF-IDF vectors,
-with document frequencies over all of them and the templates, and are joined to the template
-vectors term by term; the template of greatest cosine names the licence if it reaches
-``MIN_COSINE``. A file without one inherits from the nearest folder above it that has a
-licence file: the folders of all files are expanded to their ancestors, joined on the path,
-and the deepest wins.
-
-Files are compared per distinct licence text and folders per distinct folder, so copies of
-a header, or a folder with a third of all files, are one row of these joins.
-
-Cases: a null content is empty; a null path has no folder and inherits nothing; ties take
+content). The licence texts of a file are its lines that speak of a licence; those lines
+with the ``AROUND`` lines before and after each, which is the header they stand in; its
+leading comment; and the whole, if its name is that of a licence file. Templates are
+statements and usual headers, and the complete texts in ``licence_texts`` for Apache-2.0,
+BSD-3-Clause, GPL-3.0, MIT and MPL-2.0; there is none for the CC licences, whose complete
+texts stay without a licence. Distinct licence texts become sparse TF-IDF vectors, with
+document frequencies over all of them and the templates, and are joined to the template
+vectors term by term; the template of greatest cosine with any text of the file names its
+licence if it reaches ``MIN_COSINE``. A file that declares an SPDX identifier has that
+licence, at cosine 1. A file without one inherits from the nearest folder above it that has
+a licence file: the folders of all files are expanded to their ancestors, joined on the
+path, and the deepest wins.
+
+Files are compared per distinct set of licence texts and folders per distinct folder, so
+copies of a header, or a folder with a third of all files, are one row of these joins.
+
+Cases: a null content is empty; of several SPDX identifiers the first counts; a null path has no folder and inherits nothing; ties take
 the first licence by name, among licence files of one folder the greatest cosine, then the
 first by name; repeated rows are rows of their own; an empty table stays empty; further
 columns are ignored.
@@ -50,12 +53,25 @@ TEMPLATES = {
         "permission is hereby granted free of charge to any person obtaining a copy of this software mit license",
         "released under the mit license",
     ),
-    "MPL-2.0": ("this source code form is subject to the terms of the mozilla public license version 2.0",),
+    "MPL-2.0": (
+        "this source code form is subject to the terms of the mozilla public license version 2.0",
+        "this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at https://mozilla.org/mpl/2.0/",
+    ),
 }
+TEMPLATES["BSD-3-Clause"] += ("redistribution and use in source and binary forms with or without modification are permitted "
+                              "provided that the following conditions are met",)
+
 # Complete licence files are compared with complete texts (without copyright lines).
 for _file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
     TEMPLATES[_file.stem] += (_file.read_text(encoding="utf-8"),)
 LICENCE_LINE = r"(?i)licen[cs]e|copyright|spdx-|permission is hereby|all rights reserved|creative commons"
+# Lines of a header: also words of the templates above that hardly stand elsewhere.
+HEADER_LINE = LICENCE_LINE + r"|source and binary forms|free software|source code form|mozilla"
+AROUND = 2
+COMMENT_LINE = r"^\s*(#|//|/?\*|--|;|%|<!--|\"\"\")"
+SPDX = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
+SPDX_SUFFIX = r"-(only|or-later)$|\+$"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 
@@ -63,12 +79,40 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])"), lambda t: t != "")
 
 
-def licence_text(path: Column, content: Column) -> Column:
-    """Lines of a file that speak of a licence, or the whole of a licence file."""
-    lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(LICENCE_LINE))
-    return F.when(path.rlike(LICENCE_FILE), content).when(
-        content.rlike(LICENCE_LINE), F.array_join(lines, "\n")
-    ).otherwise("")
+def licence_texts(path: Column, content: Column) -> Column:
+    """Different licence texts of a file, none of them empty: lines that speak of a licence,
+    their header, the leading comment, the whole of a licence file.
+    """
+    lines = F.split(content, "\n")
+
+    def parts(lines: Column) -> Column:
+        def cut(marks: Column) -> Column:
+            near = lambda k: F.exists(
+                F.sequence(k - AROUND, k + AROUND), lambda j: F.when(j >= 0, F.get(marks, j)).otherwise(False)
+            )
+            plain = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT_LINE)), False).cast("int")
+            opening = F.slice(lines, F.lit(1), F.when(plain == 0, F.size(lines)).otherwise(plain - 1))
+            return F.array(
+                F.array_join(F.filter(lines, lambda x, k: F.get(marks, k)), "\n"),
+                F.array_join(F.filter(lines, lambda x, k: near(k)), "\n"),
+                F.array_join(opening, "\n"),
+            )
+
+        # Bound as variables, lines are cut and marked once.
+        marks = F.transform(lines, lambda x: x.rlike(HEADER_LINE))
+        return F.get(F.transform(F.array(marks), cut), F.lit(0))
+
+    header = F.when(content.rlike(HEADER_LINE), F.get(F.transform(F.array(lines), parts), F.lit(0))).otherwise(
+        F.array().cast("array<string>")
+    )
+    whole = F.when(path.rlike(LICENCE_FILE), F.array(content)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(F.concat(header, whole)), lambda t: t != "")
+
+
+def declared(content: Column) -> Column:
+    """First SPDX identifier of a file, without the suffix for later versions; or null."""
+    name = F.regexp_replace(F.regexp_extract(content, SPDX, 1), SPDX_SUFFIX, "")
+    return F.when(content.contains("SPDX-License-Identifier:") & (name != ""), name)
 
 
 def folder_of(path: Column) -> Column:
@@ -88,23 +132,28 @@ def _vectors(texts: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def classify_texts(texts: DataFrame) -> DataFrame:
-    """(key, licence, cosine) of distinct licence texts (key, text) near a template."""
+    """(key, licence, cosine) of sets of licence texts (key, texts) of which one is near a
+    template.
+    """
     spark = texts.sparkSession
     templates = spark.createDataFrame(
         [(f"{name}#{k}", name, t) for name, all_ in TEMPLATES.items() for k, t in enumerate(all_)],
         "key string, licence string, text string",
     )
-    own = texts.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    # Texts that sets share are weighed once.
+    members = texts.select("key", F.explode("texts").alias("text")).withColumn("part", F.md5(F.encode("text", "UTF-8")))
+    distinct = members.groupBy(F.col("part").alias("key")).agg(F.first("text").alias("text"))
+    own = distinct.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     theirs = templates.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     both = own.unionByName(theirs)
     vectors = _vectors(own, both)
     wanted = _vectors(theirs, both).join(templates.select("key", "licence"), "key").select(
         F.col("key").alias("template"), "licence", "term", F.col("weight").alias("theirs")
     )
-    close = vectors.join(F.broadcast(wanted), "term").groupBy("key", "template", "licence").agg(
+    close = vectors.join(F.broadcast(wanted), "term").groupBy(F.col("key").alias("part"), "template", "licence").agg(
         F.sum(F.col("weight") * F.col("theirs")).alias("cosine")
     ).where(F.col("cosine") >= MIN_COSINE)
-    best = close.groupBy("key").agg(
+    best = members.select("key", "part").join(close, "part").groupBy("key").agg(
         F.min(F.struct((-F.round("cosine", 9)).alias("far"), "licence")).alias("best")
     )
     return best.select("key", "best.licence", (-F.col("best.far")).alias("cosine"))
@@ -115,14 +164,21 @@ def scan_licences(files: DataFrame) -> DataFrame:
     nearest folder above that has a licence file; null without any.
     """
     content = F.coalesce("content", F.lit(""))
-    rows = files.select("path", licence_text(F.coalesce("path", F.lit("")), content).alias("text")).select(
-        "path", folder_of(F.col("path")).alias("folder"),
-        F.when(F.col("text") != "", F.md5(F.encode("text", "UTF-8"))).alias("key"), "text",
-    )
-    texts = written(
-        rows.where("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text")), "licence_texts"
+    rows = files.select(
+        "path", licence_texts(F.coalesce("path", F.lit("")), content).alias("texts"), declared(content).alias("spdx")
+    ).select(
+        "path", folder_of(F.col("path")).alias("folder"), "spdx",
+        F.when(
+            F.col("spdx").isNotNull() | (F.size("texts") > 0),
+            F.md5(F.encode(F.concat_ws("\u0000", F.coalesce("spdx", F.lit("")), "texts"), "UTF-8")),
+        ).alias("key"), "texts",
     )
-    classes = written(classify_texts(texts), "licences")
+    texts = written(rows.where("key IS NOT NULL").groupBy("key").agg(
+        F.first("texts").alias("texts"), F.first("spdx").alias("spdx")
+    ), "licence_texts")
+    classes = written(classify_texts(texts.where("spdx IS NULL")).unionByName(
+        texts.where("spdx IS NOT NULL").select("key", F.col("spdx").alias("licence"), F.lit(1.0).alias("cosine"))
+    ), "licences")
     # Files without a licence text are not dealt out by a key of nulls.
     with_text = rows.where("key IS NOT NULL").join(classes, "key", "left").select(
         "path", "folder", "licence", "cosine"
