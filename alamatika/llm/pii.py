@@ -198,7 +198,8 @@ def pattern_graph(entities: DataFrame) -> DataFrame:
         *[_instances(kind, F.lit(kind)) for kind in KINDS],
         _instances("candidates", F.lit(None).cast("string")),
     )
-    edges = entities.where(F.size(both) > 0).select(F.explode(both).alias("e")).select(
+    # Not a plain explode: Spark would filter on its size first and so match every text twice.
+    edges = entities.select(F.explode_outer(both).alias("e")).where("e IS NOT NULL").select(
         F.explode("e.patterns").alias("pattern"), "e.value", "e.kind"
     )
     return edges.distinct()
