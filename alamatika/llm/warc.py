@@ -16,8 +16,8 @@ its own attempt; only archives listed in the manifest table, which Spark commits
 a lost executor or a repeated task leaves at most an unlisted file.
 
 Cases: a null payload is empty; null targets and dates are left out of a record; repeated
-rows are records of their own, and among equal payloads with the same largest id one is
-the response; rows with a null id take part as the smallest; an empty table gives no archive
+rows are records of their own, and rows that share both a payload and its largest id are
+all responses, as a revisit could not say which of them it means; rows with a null id take part as the smallest; an empty table gives no archive
 and an empty result; further columns are ignored.
 """
 
@@ -223,7 +223,6 @@ def _with_roles(log: DataFrame) -> DataFrame:
         F.sha1(F.encode(payload, "UTF-8")).alias("digest"),
         F.octet_length(payload).cast("long").alias("size"),
     )
-    # A row number tells repeated rows with one id apart.
     repeated = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(
         F.max("id").alias("head"), F.count("*").alias("n")
     ).where("n > 1")

@@ -1,4 +1,6 @@
-"""Both classifiers: held-out accuracy on the test tables, odd inputs."""
+"""Both classifiers: held-out accuracy, plain dense versions of their training, odd inputs."""
+
+import math
 
 import numpy as np
 import pytest
@@ -74,3 +76,72 @@ def test_long_training_texts_are_learnt_whole(spark):
     model = quality.train(df, spark.createDataFrame([(0, 0), (1, 1)], "address_id long, quality int"))
     for _, text in texts:
         assert (model.weights[quality.shares(text)[0]] != 0).mean() > 0.9  # few share a bucket
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.9])
+def test_risk_fit_equals_a_dense_loop(monkeypatch, prior):
+    """Gradients row by row and feature by feature, through both branches."""
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rng = np.random.default_rng(5)
+    positive = (rng.random((15, 5)) < [0.9, 0.7, 0.5, 0.2, 0.0]).astype(int)
+    unlabelled = (rng.random((60, 5)) < [0.2, 0.3, 0.5, 0.6, 0.4]).astype(int)
+
+    theta = [0.0] * 5 + [math.log(prior / (1 - prior))]
+    first, second, reversed_steps = [0.0] * 6, [0.0] * 6, 0
+    for step in range(1, 61):
+        def mean(rows, sign):
+            loss, slope = 0.0, [0.0] * 6
+            for row in rows:
+                x = [*row, 1]
+                z = sum(t * v for t, v in zip(theta, x))
+                loss += math.log1p(math.exp(-sign * z)) / len(rows)
+                for j in range(6):
+                    slope[j] += -sign * x[j] / (1 + math.exp(sign * z)) / len(rows)
+            return loss, slope
+
+        _, up = mean(positive, 1)
+        lost, back = mean(positive, -1)
+        whole, down = mean(unlabelled, -1)
+        below = whole - prior * lost < 0
+        reversed_steps += below
+        for j in range(6):
+            corrected = down[j] - prior * back[j]
+            g = -corrected if below else prior * up[j] + corrected
+            g += toxicity.DECAY * theta[j] if j < 5 else 0
+            first[j] = 0.9 * first[j] + 0.1 * g
+            second[j] = 0.999 * second[j] + 0.001 * g * g
+        theta = [
+            t - toxicity.RATE * (a / (1 - 0.9**step)) / (math.sqrt(b / (1 - 0.999**step)) + 1e-8)
+            for t, a, b in zip(theta, first, second)
+        ]
+    weights, bias = toxicity.fit([np.flatnonzero(x) for x in positive], [np.flatnonzero(x) for x in unlabelled], 5, prior)
+    assert np.allclose([*weights, bias], theta, atol=1e-6)
+    assert 0 < reversed_steps < 60  # both branches were taken
+
+
+def test_ftrl_equals_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 12)
+    rng = np.random.default_rng(6)
+    learner, z, n = quality.Ftrl(), [0.0] * 13, [0.0] * 13
+
+    def weight(j):
+        if abs(z[j]) <= quality.L1:
+            return 0.0
+        return -(z[j] - math.copysign(quality.L1, z[j])) / ((quality.BETA + math.sqrt(n[j])) / quality.ALPHA + quality.L2)
+
+    for k in range(200):
+        buckets = np.flatnonzero(rng.random(12) < 0.4)
+        values = rng.random(len(buckets))
+        good, cost = int(rng.random() < 0.2 + 0.6 * (2 in buckets)), 0.5 + k % 3
+        learner.learn(good, buckets, values, cost)
+        row = [*zip(buckets.tolist(), values.tolist()), (12, 1.0)]
+        old = {j: weight(j) for j, _ in row}
+        p = 1 / (1 + math.exp(-sum(old[j] * x for j, x in row)))
+        for j, x in row:
+            g = cost * (p - good) * x
+            sigma = (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / quality.ALPHA
+            z[j] += g - sigma * old[j]
+            n[j] += g * g
+    model = learner.model()
+    assert np.allclose(model.weights, [weight(j) for j in range(12)]) and abs(model.bias - weight(12)) < 1e-9
+    assert model.weights[2] > 0
