@@ -12,8 +12,9 @@ deals requests into shards (the record batches of its partitions, split at ``SHA
 4. searches all phrases backward at once through the matrix's ranks, walks each row found
    to the next sampled position, and merges the words hit into removal spans.
 
-Phrases travel to the tasks in blocks of at most ``BLOCK_BYTES`` of labelled text; larger
-label sets are searched block after block and their hits merged per request.
+Phrases are broadcast in blocks of about ``BLOCK_BYTES`` of labelled text at most (a longer
+label is a block of its own), as arrays of some four times that size; larger label sets are
+searched block after block and their hits merged per request.
 
 Cases: a null or blank text has no words and is clean; labelled texts without words are no
 phrases; labels with equal texts are all reported, repeated label rows once; a null label id
@@ -39,7 +40,7 @@ from alamatika.plans.gazetteer import written
 PHRASE_WORDS = 10
 SAMPLE_EVERY = 8
 SHARD_WORDS = 1_000_000  # words of a shard beyond which the next one begins
-BLOCK_BYTES = 32 << 20  # labelled text searched in one pass over the requests
+BLOCK_BYTES = 4 << 20  # labelled text searched in one pass over the requests
 
 # Words are runs of digits, letters and everything beyond ASCII; A-Z are lowered.
 _FOLD = bytes(
@@ -54,31 +55,65 @@ def words_of(text: str | None) -> list[bytes]:
 _RUN = re.compile(b"[^ ]+")
 
 
+def _names(words: np.ndarray, width: int) -> np.ndarray:
+    """A number for the ``width`` words from each position, equal for equal words: names of
+    runs are paired to runs of twice the length, the last two may overlap.
+    """
+    name, span = words.astype(np.int64), 1
+    while span < width:
+        step = min(span, width - span)
+        pairs = name[:-step] * (int(name.max(initial=0)) + 1) + name[step:]
+        name = np.unique(pairs, return_inverse=True)[1]
+        span += step
+    return name
+
+
 class Phrases:
-    """Phrases of a block of labels: symbols of words, phrases by length, their labels."""
+    """Phrases of a block of labels, in arrays: symbols of the block's words, the texts as
+    symbols, where in them a copy of each phrase begins (by length), and which labels have it.
+
+    ``by_width`` holds (begins, numbers) of the distinct phrases of a length; the labels of
+    phrase k are ``owners[owned[k] : owned[k + 1]]``.
+    """
 
     def __init__(self, labels: list[tuple[str, str | None]]):
         self.symbols: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
         self.labels = sorted({str(label) for label, _ in labels})
         number = {label: k for k, label in enumerate(self.labels)}
-        for label, text in labels:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
-            width = min(PHRASE_WORDS, len(ids))
-            for k in range(len(ids) - width + 1 if width else 0):
-                owners.setdefault(tuple(ids[k : k + width]), set()).add(number[str(label)])
-        keys = sorted(owners, key=len)
+        symbol = self.symbols
+        texts = [
+            np.array([symbol.setdefault(w, len(symbol) + 1) for w in words_of(text)], dtype=np.int32)
+            for _, text in labels
+        ]
+        whose = np.array([number[str(label)] for label, _ in labels], dtype=np.int64)
+        lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        begins = np.cumsum(lengths) - lengths
+        self.words = np.concatenate([*texts, np.empty(0, np.int32)])
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k, key in enumerate(keys):
-            self.by_width.setdefault(len(key), ([], []))
-            self.by_width[len(key)][0].append(key)
-            self.by_width[len(key)][1].append(k)
-        self.by_width = {
-            w: (np.array(p, dtype=np.int64), np.array(n)) for w, (p, n) in self.by_width.items()
-        }
-        self.owners = [sorted(owners[key]) for key in keys]
+        self.n, counts, owners = 0, [], []
+        widths = np.minimum(lengths, PHRASE_WORDS)
+        for width in np.unique(widths[widths > 0]).tolist():
+            of = np.flatnonzero(widths == width)
+            count = lengths[of] - width + 1
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[of], count)
+            _, first, phrase = np.unique(_names(self.words, width)[at], return_index=True, return_inverse=True)
+            pairs = np.unique(phrase * len(self.labels) + np.repeat(whose[of], count))
+            counts.append(np.bincount(pairs // len(self.labels), minlength=len(first)))
+            owners.append((pairs % len(self.labels)).astype(np.int32))
+            self.by_width[width] = at[first].astype(np.int32), np.arange(self.n, self.n + len(first), dtype=np.int32)
+            self.n += len(first)
+        self.owned = np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.empty(0, np.int64)]))]).astype(np.int32)
+        self.owners = np.concatenate([*owners, np.empty(0, np.int32)])
         self.shortest = min(self.by_width, default=0)
 
+    def within(self, width: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, number) of the phrases of a length all of whose words are ``known``."""
+        begins, numbers = self.by_width[width]
+        for k in range(width):
+            kept = known[self.words[begins + k]]
+            begins, numbers = begins[kept], numbers[kept]
+        return self.words[begins[:, None] + np.arange(width)].astype(np.int64), numbers
+
 
 class WaveletMatrix:
     """Symbols in bit planes, high to low; ``rank`` and ``access`` for arrays of positions."""
@@ -217,8 +252,12 @@ def occurrences(words: np.ndarray, ends: np.ndarray, phrases: Phrases) -> Iterat
         offsets.append(at)
         at += len(stretch) + 1
     offsets = np.array(offsets)
-    index = FMIndex(np.concatenate(pieces).astype(np.int64))
-    for width, (rows, numbers) in phrases.by_width.items():
+    joined = np.concatenate(pieces).astype(np.int64)
+    index = FMIndex(joined)
+    known = np.zeros(len(phrases.symbols) + 1, dtype=bool)
+    known[joined] = True
+    for width in phrases.by_width:
+        rows, numbers = phrases.within(width, known)
         low, high = index.search(rows)
         count = high - low
         which = np.repeat(np.arange(len(rows)), count)
@@ -247,9 +286,10 @@ def search_texts(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
             np.add.at(steps, at, 1)
             np.add.at(steps, at + width, -1)
             texts_hit = np.searchsorted(ends, at, side="right")
-            for pair in np.unique(texts_hit * len(phrases.owners) + numbers).tolist():
-                text, number = divmod(pair, len(phrases.owners))
-                labels.setdefault(text, set()).update(phrases.owners[number])
+            for pair in np.unique(texts_hit * phrases.n + numbers).tolist():
+                text, number = divmod(pair, phrases.n)
+                of = slice(phrases.owned[number], phrases.owned[number + 1])
+                labels.setdefault(text, set()).update(phrases.owners[of].tolist())
     hit = np.cumsum(steps)[:-1] > 0
     out = []
     for k, (end, length) in enumerate(zip(ends.tolist(), lengths.tolist())):
@@ -292,11 +332,12 @@ def _shards(parts: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBat
 
 def _search(requests: DataFrame, phrases: Phrases) -> DataFrame:
     id_type = requests.schema["address_id"].dataType.simpleString()
+    sent = requests.sparkSession.sparkContext.broadcast(phrases)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for shard in _shards(parts, 1):
-            rows = search_texts(shard.column("raw_input").to_pylist(), phrases)
+            rows = search_texts(shard.column("raw_input").to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays(
                 [
                     shard.column("address_id"),
@@ -407,10 +448,12 @@ def remove_leaks(rows: DataFrame, labels: DataFrame, text_column: str = "raw_inp
     schema, at = rows.schema, rows.columns.index(text_column)
 
     def remover(phrases: Phrases):
+        sent = rows.sparkSession.sparkContext.broadcast(phrases)
+
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard in _shards(parts, at):
                 texts = shard.column(at).to_pylist()
-                clean = clean_texts(texts, phrases)
+                clean = clean_texts(texts, sent.value)
                 kept = [a == b or bool(words_of(b)) for a, b in zip(texts, clean)]
                 columns = list(shard.columns)
                 columns[at] = pa.array(clean, columns[at].type)

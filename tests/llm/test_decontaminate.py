@@ -1,6 +1,8 @@
 """FM-index search against plain search."""
 
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -54,6 +56,44 @@ def cases():
     return texts + texts[4:9] + ["only-here"], labels
 
 
+def test_phrases_are_those_of_a_plain_dict():
+    rng = random.Random(3)
+    word = lambda: rng.choice("aa bb cc dd".split())
+    labels = [(str(k % 40), " ".join(word() for _ in range(rng.choice([0, 1, 2, 5, 9, 10, 11, 25])))) for k in range(120)]
+    labels += [labels[7], ("x", None), ("y", " ".join(["aa"] * 40))]
+    want = {}
+    for label, text in labels:
+        words = D.words_of(text)
+        width = min(10, len(words))
+        for k in range(len(words) - width + 1 if width else 0):
+            want.setdefault(tuple(words[k : k + width]), set()).add(label)
+    phrases = D.Phrases(labels)
+    word_of = {n: w for w, n in phrases.symbols.items()}
+    got = {}
+    for width in phrases.by_width:
+        rows, numbers = phrases.within(width, np.ones(len(word_of) + 1, dtype=bool))
+        for row, n in zip(rows.tolist(), numbers.tolist()):
+            owners = phrases.owners[phrases.owned[n] : phrases.owned[n + 1]].tolist()
+            assert got.setdefault(tuple(word_of[x] for x in row), owners) is owners  # each phrase once
+    assert {k: {phrases.labels[x] for x in v} for k, v in got.items()} == want
+    assert all(len(v) == len(set(v)) for v in got.values())
+    no_d = np.array([False] + [word_of[k] != b"dd" for k in range(1, len(word_of) + 1)])
+    assert sum(len(phrases.within(w, no_d)[1]) for w in phrases.by_width) == sum(b"dd" not in k for k in want)
+    assert D.Phrases([]).shortest == D.Phrases([("a", None)]).shortest == 0
+
+
+def test_a_block_of_labels_is_small():
+    rng = random.Random(4)
+    text = lambda: " ".join(f"{rng.getrandbits(18):x}" for _ in range(200))
+    labels = [(str(k), text()) for k in range(D.BLOCK_BYTES // 1200)]
+    assert sum(len(t) for _, t in labels) > D.BLOCK_BYTES * 0.8
+    tracemalloc.start()
+    phrases = D.Phrases(labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(phrases)) < 20 << 20 and peak < 300 << 20
+
+
 @pytest.mark.parametrize("block", [1 << 20, 300])
 def test_against_plain_search(spark, monkeypatch, block):
     monkeypatch.setattr(D, "BLOCK_BYTES", block)
