@@ -2,9 +2,9 @@
 
 Words and runs of signs, in their own case, are hashed one by one and in pairs into
 ``BUCKETS`` buckets. The model learns by FTRL-proximal updates, one whole text at a time, on
-the driver, from at most ``MAX_TRAINING`` labelled rows (as arrays of bucket numbers in a
-temporary file, read again in every epoch); a text's score is the sparse dot product of its
-bucket shares with the weights.
+the driver, from at most ``MAX_TRAINING`` labelled rows (a written table of bucket numbers,
+streamed through the driver in one order in every epoch); a text's score is the sparse dot
+product of its bucket shares with the weights.
 
 Cases: a null or blank text has no n-gram and gets the score of the bias alone; null
 labels are left out; repeated label rows count once, as the greater; without labels every
@@ -15,7 +15,6 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alamatika.plans.gazetteer import written
+
 BUCKETS = 1 << 18
 MAX_TRAINING = 8_000  # labelled rows, chosen by a hash of the id
 EPOCHS = 5
@@ -79,25 +80,17 @@ def train(requests: DataFrame, labels: DataFrame) -> Model:
                     ["good", "buckets", "weights"],
                 )
 
-    shaped = rows.mapInArrow(run, "good int, buckets binary, weights binary")
+    shaped = written(rows.mapInArrow(run, "good int, buckets binary, weights binary"), "shares")
+    of_kind = {r["good"]: r["count"] for r in shaped.groupBy("good").count().collect()}
+    # Both kinds weigh the same in all.
+    cost = {good: sum(of_kind.values()) / (2 * n) for good, n in of_kind.items()}
+    # One order, however Spark dealt the rows; the driver holds one partition at a time.
+    ordered = shaped.orderBy(F.crc32("buckets"), "good", F.crc32("weights"))
     learner = Ftrl()
-    # Long texts have many buckets: memory holds their places in a file, and one text at a time.
-    with tempfile.TemporaryFile() as file:
-        held = []
-        for r in shaped.toLocalIterator():
-            order = (crc32(r["buckets"]), r["good"], crc32(r["weights"]))
-            held.append((*order, file.tell(), len(r["buckets"])))
-            file.write(r["buckets"])
-            file.write(r["weights"])
-        held.sort()  # one order, however Spark dealt the rows
-        of_kind = np.bincount([x[1] for x in held], minlength=2)
-        cost = len(held) / (2 * np.maximum(of_kind, 1))  # both kinds weigh the same in all
-        for _ in range(EPOCHS):
-            for _, good, _, at, size in held:
-                file.seek(at)
-                buckets = np.frombuffer(file.read(size), "<i4")
-                weights = np.frombuffer(file.read(size), "<f4")
-                learner.learn(good, buckets, weights, cost[good])
+    for _ in range(EPOCHS):
+        for r in ordered.toLocalIterator():
+            buckets, weights = np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], "<f4")
+            learner.learn(r["good"], buckets, weights, cost[r["good"]])
     return learner.model()
 
 
