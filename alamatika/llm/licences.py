@@ -119,16 +119,18 @@ def folder_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def _vectors(texts: DataFrame, documents: DataFrame) -> DataFrame:
-    """(key, term, weight): TF-IDF vectors of unit length; frequencies over ``documents``."""
+def _weighted(texts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(key, term, weight): TF-IDF; frequencies over ``documents``."""
     n = documents.select("key").distinct().count()
     frequency = documents.groupBy("term").agg(F.count_distinct("key").alias("df"))
     counts = texts.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    weighted = counts.join(frequency, "term").select(
-        "key", "term", (F.col("tf") * (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1)).alias("w")
+    return counts.join(frequency, "term").select(
+        "key", "term", (F.col("tf") * (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1)).alias("weight")
     )
-    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _norms(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
 def classify_texts(texts: DataFrame) -> DataFrame:
@@ -146,12 +148,16 @@ def classify_texts(texts: DataFrame) -> DataFrame:
     own = distinct.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     theirs = templates.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     both = own.unionByName(theirs)
-    vectors = _vectors(own, both)
-    wanted = _vectors(theirs, both).join(templates.select("key", "licence"), "key").select(
-        F.col("key").alias("template"), "licence", "term", F.col("weight").alias("theirs")
+    vectors, marks = written(_weighted(own, both), "vectors"), _weighted(theirs, both)
+    wanted = marks.join(_norms(marks), "key").join(templates.select("key", "licence"), "key").select(
+        F.col("key").alias("template"), "licence", "term", (F.col("weight") / F.col("norm")).alias("theirs")
+    )
+    # Lengths meet the sums, one row a template, not the terms: a long text is no hot key.
+    products = vectors.join(F.broadcast(wanted), "term").groupBy("key", "template", "licence").agg(
+        F.sum(F.col("weight") * F.col("theirs")).alias("product")
     )
-    close = vectors.join(F.broadcast(wanted), "term").groupBy(F.col("key").alias("part"), "template", "licence").agg(
-        F.sum(F.col("weight") * F.col("theirs")).alias("cosine")
+    close = products.join(_norms(vectors), "key").select(
+        F.col("key").alias("part"), "template", "licence", (F.col("product") / F.col("norm")).alias("cosine")
     ).where(F.col("cosine") >= MIN_COSINE)
     best = members.select("key", "part").join(close, "part").groupBy("key").agg(
         F.min(F.struct((-F.round("cosine", 9)).alias("far"), "licence")).alias("best")
