@@ -14,8 +14,11 @@ need a ``prior`` of their own, and where no label is 0 it is ``PRIOR``.
 
 Features are words that occur in a text at all (lower-case, whole texts), chosen by Spark
 from document counts of the training rows: those that positives hold more often than
-unlabelled texts, by a signed deviance. A numpy model is trained on the driver from at most
-``MAX_TRAINING`` rows of each kind, already reduced to their features.
+unlabelled texts, by a signed deviance. A numpy model is trained on the driver from rows
+already reduced to their features. The size of the model is stated by parameters of ``train``:
+``max_training`` rows of each kind, a vocabulary of the ``max_features`` words of greatest
+deviance among those in at least ``min_texts`` positives. The vocabulary is what keeps some
+hundred positives from being learnt by heart (see README for what more words do).
 
 Cases: a null or blank text has no word and gets the score of the bias alone; null labels
 are no labels; rows without an id are not learnt from; labels are matched by id, repeated label rows count as toxic if one
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from alamatika.llm.batches import text_slices, tidy
 
 MAX_TRAINING = 10_000  # rows of each kind a model is trained on, chosen by a hash of the id
-MAX_FEATURES = 2_000
+MAX_FEATURES = 2_000  # words of the vocabulary
 PRIOR = 0.1  # share of toxic requests where labels cannot tell it
 MIN_TEXTS = 3  # positives that must hold a word
 STEPS = 400
@@ -97,9 +100,9 @@ def _numbered(sets: DataFrame, names: list[str]) -> list[tuple[int, np.ndarray]]
     return [(r["positive"], np.frombuffer(r["found"], "<i4")) for r in rows]
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """At most ``MAX_TRAINING`` rows, the first by a hash of their id."""
-    return rows.orderBy(F.xxhash64("address_id"), "address_id").limit(MAX_TRAINING)
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, the first by a hash of their id."""
+    return rows.orderBy(F.xxhash64("address_id"), "address_id").limit(most)
 
 
 def class_prior(labels: DataFrame) -> float:
@@ -109,40 +112,48 @@ def class_prior(labels: DataFrame) -> float:
     return share if share is not None and share < 1 else PRIOR
 
 
-def train(requests: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
+def train(
+    requests: DataFrame,
+    labels: DataFrame,
+    prior: float | None = None,
+    *,
+    max_training: int = MAX_TRAINING,
+    max_features: int = MAX_FEATURES,
+    min_texts: int = MIN_TEXTS,
+) -> Model:
     """Model from requests (address_id, raw_input) and labels (address_id, toxic).
 
-    The training set is bounded: up to ``MAX_TRAINING`` labelled-toxic ids, and as many of all
+    The training set is bounded: up to ``max_training`` labelled-toxic ids, and as many of all
     ids as the unlabelled sample, confirmed ones at the rate at which they come.
     """
     positive = labels.where(F.col("toxic").cast("int") == 1).select("address_id").distinct()
     ids = requests.where("address_id IS NOT NULL").select("address_id").distinct()
-    chosen = _bounded(positive).withColumn("positive", F.lit(1)).unionByName(
-        _bounded(ids).withColumn("positive", F.lit(0))
+    chosen = _bounded(positive, max_training).withColumn("positive", F.lit(1)).unionByName(
+        _bounded(ids, max_training).withColumn("positive", F.lit(0))
     )
     # The chosen ids are bounded, so texts need not be shuffled to meet them.
     rows = requests.select("address_id", "raw_input").join(F.broadcast(chosen), "address_id")
     sets = _word_sets(rows.select(F.struct("address_id", "positive").alias("address_id"), "raw_input"))
     sets = sets.select("address_id.positive", "words").persist()
     try:
-        return _train(sets, class_prior(labels) if prior is None else prior)
+        return _train(sets, class_prior(labels) if prior is None else prior, max_features, min_texts)
     finally:
         sets.unpersist()
 
 
-def _train(sets: DataFrame, prior: float) -> Model:
+def _train(sets: DataFrame, prior: float, max_features: int, min_texts: int) -> Model:
     totals = {r["positive"]: r["n"] for r in sets.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = totals.get(1, 0), totals.get(0, 0)
     if not n_pos:
         return Model({}, -np.inf)
     counts = sets.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("n")
-    ).where(F.col("pos") >= min(MIN_TEXTS, n_pos))
+    ).where(F.col("pos") >= min(min_texts, n_pos))
     rate = (F.col("pos") + 0.5) / F.lit(n_pos + 1.0)
     base = (F.col("n") + 0.5) / F.lit(n_unl + 1.0)
     chosen = counts.select(
         "word", (F.col("pos") * F.log(rate / base)).alias("gain"), F.log(rate / base).alias("lift")
-    ).where("lift > 0").orderBy(F.desc("gain"), "word").limit(MAX_FEATURES)
+    ).where("lift > 0").orderBy(F.desc("gain"), "word").limit(max_features)
     names = [r["word"] for r in chosen.collect()]
     rows = _numbered(sets, names)
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # one order, however Spark dealt the rows

@@ -145,3 +145,15 @@ def test_ftrl_equals_a_plain_loop(monkeypatch):
     model = learner.model()
     assert np.allclose(model.weights, [weight(j) for j in range(12)]) and abs(model.bias - weight(12)) < 1e-9
     assert model.weights[2] > 0
+
+
+def test_size_of_the_toxicity_model_is_a_parameter(spark):
+    texts = [f"kasar{k % 3} jorok umum{k}" if k % 2 else f"umum{k} biasa" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "address_id long, raw_input string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "address_id long, toxic int")
+    words = lambda **size: set(toxicity.train(df, labels, **size).weights)
+    assert words() == {"jorok", "kasar0", "kasar1", "kasar2"}
+    assert words(max_features=1) == {"jorok"}
+    assert words(min_texts=11) == {"jorok"}
+    assert len(words(min_texts=1)) == 4 + 30
+    assert len(words(min_texts=1, max_training=10)) < 34
