@@ -149,7 +149,8 @@ def classify_texts(texts: DataFrame) -> DataFrame:
     theirs = templates.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     both = own.unionByName(theirs)
     vectors, marks = written(_weighted(own, both), "vectors"), _weighted(theirs, both)
-    wanted = marks.join(_norms(marks), "key").join(templates.select("key", "licence"), "key").select(
+    # Templates are fixed, some twenty rows: one complete licence is most of their terms.
+    wanted = marks.join(F.broadcast(_norms(marks)), "key").join(F.broadcast(templates.select("key", "licence")), "key").select(
         F.col("key").alias("template"), "licence", "term", (F.col("weight") / F.col("norm")).alias("theirs")
     )
     # Lengths meet the sums, one row a template, not the terms: a long text is no hot key.
